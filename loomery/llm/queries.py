@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomery.llm import decontaminate, html_text, line_dedup, packing, quality_model, quality_rules, substring_dedup, token_counts, token_files
+from loomery.llm import decontaminate, html_text, line_dedup, ngram_join, packing, quality_model, quality_rules, substring_dedup, token_counts, token_files
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -31,6 +31,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(_table(spark, sf_dir, "documents"))
 
