@@ -186,7 +186,12 @@ def collate(df: DataFrame, batch: str, order: str, columns: list[str]) -> DataFr
     """The declared columns of each batch as lists, all in one order."""
     made = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), *columns)))
     g = df.groupBy(batch).agg(made.alias("_l"))
-    return g.select(batch, *[F.transform("_l", lambda x, c=c: x[c]).alias(c) for c in columns])
+
+
+    def column(c: str) -> Column:
+        return F.transform("_l", lambda x: x[c]).alias(c)
+
+    return g.select(batch, *[column(c) for c in columns])
 
 
 def random_spans(spark, n: int, duration: float, seed: int = 0) -> DataFrame:

@@ -130,5 +130,5 @@ def boundaries(df: DataFrame, key: str, st: str, ed: str) -> DataFrame:
     """Segment borders in order; a segment that starts where the last one ended adds its end alone."""
     w = Window.partitionBy(key).orderBy(st, ed)
     joined = F.coalesce(F.lag(ed).over(w) == F.col(st), F.lit(False))
-    parts = F.when(joined, F.array(ed)).otherwise(F.array(st, ed))
-    return df.select(key, st, F.posexplode(parts).alias("_k", "at")).select(key, F.col(st).alias("segment"), F.col("_k").alias("k"), "at")
+    parts = F.when(F.col("_joined"), F.array(ed)).otherwise(F.array(st, ed))
+    return df.withColumn("_joined", joined).select(key, st, F.posexplode(parts).alias("_k", "at")).select(key, F.col(st).alias("segment"), F.col("_k").alias("k"), "at")
