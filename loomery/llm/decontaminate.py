@@ -66,7 +66,7 @@ class Seeds:
         d = np.repeat(df, np.diff(self.first))
         order = np.lexsort((self.pos, d, self.item))
         sizes = np.bincount(self.item, minlength=len(self.ids))
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        starts = np.cumsum(sizes) - sizes
         rank = np.arange(len(order)) - np.repeat(starts, sizes)
         keep = order[rank < np.ceil(RARE_SHARE * np.repeat(sizes, sizes))]
         self._set(h[keep], self.item[keep], self.pos[keep])

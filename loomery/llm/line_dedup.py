@@ -82,12 +82,10 @@ def covered_lines(keyed: DataFrame) -> DataFrame:
     )
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated windows cut from ``text``, plus n_lines, n_removed and emptied.
-
-    ``emptied`` marks a document that had lines with words and has none left.
-    """
-    keyed = _keyed(docs)
+def _deduped(docs: DataFrame) -> DataFrame:
+    """(row, text, n_lines, n_removed, emptied): every row as it was and what becomes of its text."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # no name of a column can clash with ours
+    keyed = _keyed(docs.select(row, "doc_id", "text"))
     j = keyed.join(covered_lines(keyed.select("id_key", "text_key", "text")), ["id_key", "text_key"], "left")
     result = let(
         text_lines(F.col("text")),
@@ -96,31 +94,39 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
                 F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.coalesce("gone", F.array().cast("array<int>"))),
                 lambda i: F.get(x, i),
             ),
-            lambda left: F.struct(
-                F.size(x).cast("long").alias("n_lines"), F.array_join(left, "\n").alias("text")
-            ),
+            lambda left: F.struct(F.size(x).cast("long").alias("n_lines"), F.array_join(left, "\n").alias("text")),
         ),
     )
-    j = j.withColumn("res", result)
     changed = F.col("gone").isNotNull()
-    out = {
-        "text": F.when(changed, F.col("res.text")).otherwise(F.col("text")),
-        "n_lines": F.col("res.n_lines"),
-        "n_removed": F.coalesce(F.size("gone"), F.lit(0)).cast("long"),
-        "emptied": F.when(changed, ~F.col("res.text").rlike(HAS_WORD)).otherwise(F.lit(False)),
-    }
-    out["n_removed"] = F.when(changed, F.size("gone")).otherwise(0).cast("long")
-    kept = [c for c in docs.columns if c not in out]
-    return j.select(*kept, *(v.alias(k) for k, v in out.items()))
+    j = j.withColumn("res", result)
+    return j.select(
+        "row",
+        F.when(changed, F.col("res.text")).otherwise(F.col("text")).alias("text"),
+        "res.n_lines",
+        F.when(changed, F.size("gone")).otherwise(0).cast("long").alias("n_removed"),
+        F.when(changed, ~F.col("res.text").rlike(HAS_WORD)).otherwise(F.lit(False)).alias("emptied"),
+    )
+
+
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """``docs`` with repeated windows cut from ``text``, plus n_lines, n_removed and emptied.
+
+    ``emptied`` marks a document that had lines with words and has none left. Columns of ``docs`` with one of these
+    names are replaced.
+    """
+    made = ["text", "n_lines", "n_removed", "emptied"]
+    kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in made]
+    return _deduped(docs).select(*kept, *made)
 
 
 def apply_dedup(docs: DataFrame) -> DataFrame:
-    """Stage form: the columns of ``docs``; documents of which nothing is left are dropped."""
-    names = docs.columns
-    out = dedup_lines(docs.select("doc_id", *[c for c in names if c not in ("doc_id", "n_lines", "n_removed", "emptied")]))
-    extra = [c for c in names if c in ("n_lines", "n_removed", "emptied")]
-    assert not extra, f"columns {extra} clash with the operator's own"
-    out = out.filter("not emptied")
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*names)
+    """Stage form: the columns of ``docs`` (``n_chars`` follows the text); documents of which nothing is left go."""
+    return _deduped(docs).filter("not emptied").select(*with_text(docs))
+
+
+def with_text(docs: DataFrame) -> list[Column]:
+    """The columns of ``docs`` out of ``row``, ``text`` and ``n_chars`` from the new text."""
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return [new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns]

@@ -17,8 +17,8 @@ a pair is verified only if it shares as many prefix tokens as the smaller ``l``
 4. Pairs already in one class need no verification, so a large group of near copies costs one success each.
 
 Defined cases: null and empty texts and texts without words have an empty set and link with nothing; a null doc_id joins
-by its text but never names a class (component_id is null where no other id does); rows of one doc_id and different
-texts are documents of their own that share a name; ties cannot occur, since the test is exact in integers.
+by its text but never names a class (component_id is null where no other id does); rows of one doc_id, with equal or
+different texts, are in one class, since the id is what links name; ties cannot occur, since the test is exact in integers.
 """
 
 from __future__ import annotations
@@ -47,8 +47,8 @@ TOLD = "block long, kind int, bucket long, a binary, b binary"
 TOLD_PA = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
 SENT = "bucket long, block long, a binary, b binary, c binary"
 SENT_PA = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), *((k, pa.binary()) for k in "abc")])
-INFO = "doc_id long, n long, ell long, base long, reach long, tokens binary"
-INFO_PA = pa.schema([*((k, pa.int64()) for k in ("doc_id", "n", "ell", "base", "reach")), ("tokens", pa.binary())])
+INFO = "doc_id long, m string, n long, ell long, base long, reach long, tokens binary"
+INFO_PA = pa.schema([("doc_id", pa.int64()), ("m", pa.string()), *((k, pa.int64()) for k in ("n", "ell", "base", "reach")), ("tokens", pa.binary())])
 EDGE = "a long, b long"
 EDGE_PA = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -81,9 +81,12 @@ class Block:
         owners = [np.frombuffer(r["a"], np.int64) for r in rows if r["kind"] == OWNERS]
         owned = pa.array(np.concatenate(owners) if owners else np.zeros(0, np.int64))
         docs = docs.filter(pa.compute.is_in(docs.column("doc_id"), value_set=owned)).combine_chunks()
+        once = {k: i for i, k in enumerate(zip(docs.column("doc_id").to_pylist(), docs.column("m").to_pylist(), strict=True))}
+        docs = docs.take(pa.array(sorted(once.values()), pa.int64())).combine_chunks()  # rows repeated in full count once
         text = docs.column("text")
         text = text.chunk(0) if text.num_chunks else pa.array([], pa.string())
         self.ids = docs.column("doc_id").to_numpy()
+        self.texts = docs.column("m").to_pylist()
         self.sets = [s for _, s in token_sets(text)]
         self.sizes = np.array([len(s) for s in self.sets], np.int64)
         token = np.concatenate(self.sets) if self.sets else np.zeros(0, np.uint64)
@@ -172,7 +175,7 @@ def ordered_sets(docs: pa.Table, told: pa.Table, buckets: int) -> pa.Table:
     b = Block(docs, told, buckets)
     df = b.frequencies()[b.back]
     out, at = [], 0
-    for doc, s in zip(b.ids.tolist(), b.sets, strict=True):
+    for doc, m, s in zip(b.ids.tolist(), b.texts, b.sets, strict=True):
         n, d = len(s), df[at : at + len(s)]
         at += n
         common = d > 1
@@ -180,10 +183,10 @@ def ordered_sets(docs: pa.Table, told: pa.Table, buckets: int) -> pa.Table:
             s, d = s[common], d[common]
             order = np.lexsort((s, d))
             ell, base, reach = prefix_choice(n, d[order])
-            out.append((doc, n, ell, base, reach, s[order].tobytes()))
+            out.append((doc, m, n, ell, base, reach, s[order].tobytes()))
         else:
-            out.append((doc, n, 0, 0, 0, None))
-    columns = list(zip(*out, strict=True)) or [()] * 6
+            out.append((doc, m, n, 0, 0, 0, None))
+    columns = list(zip(*out, strict=True)) or [()] * 7
     return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(columns, INFO_PA, strict=True)], schema=INFO_PA)
 
 
@@ -309,7 +312,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stand_in = F.lit(2**63 - 1) - F.pmod(F.xxhash64(text), F.lit(1 << SALT_BITS))
     named = docs.select(F.col("doc_id").cast("long").alias("real"), F.coalesce(F.col("doc_id").cast("long"), stand_in).alias("doc_id"), text.alias("text"))
     block = F.pmod(F.xxhash64("doc_id"), F.lit(n))
-    dealt = named.select("doc_id", "text").withColumn("block", block).repartition(n, "block")
+    dealt = named.select("doc_id", F.md5("text").alias("m"), "text").withColumn("block", block).repartition(n, "block")
     texts = named.select("real", "doc_id", F.md5("text").alias("m"))
     owners = texts.groupBy("m").agg(F.min("doc_id").alias("owner"))
     told = (
@@ -343,9 +346,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = _linked(open_, components(stars), n)
     classes = components(written(links, "links"))
     owned = texts.join(owners, "m")
-    size = info.select(F.col("doc_id").alias("owner"), F.col("n").alias("n_shingles"))
+    size = info.select(F.col("doc_id").alias("owner"), "m", F.col("n").alias("n_shingles"))
     named_class = classes.select(F.col("v").alias("owner"), "c")
-    out = owned.join(size, "owner").join(named_class, "owner", "left")
+    out = owned.join(size, ["owner", "m"]).join(named_class, "owner", "left")
     smallest = F.coalesce("c", "owner")
     smallest = F.when(smallest <= F.lit(2**63 - 1 - (1 << SALT_BITS)), smallest)
     return out.select(
@@ -358,4 +361,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     named = near_duplicates(docs)
     gone = named.filter("component_id is not null and (doc_id is null or doc_id <> component_id)").select("doc_id").distinct()
     kept = docs.join(gone.filter("doc_id is not null"), "doc_id", "left_anti")
-    return kept.select(*docs.columns)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -3,7 +3,7 @@
 Features are indicators (present or not) of hashed byte 1- to 4-grams of the text and of bigrams over word shapes (does a
 word repeat the one before, or the one before that). Every indicator is scaled by its log-count ratio between the two
 classes, and a linear hinge-loss model is fitted on the scaled indicators by dual coordinate descent. The margin is
-mapped to 0..1 by a logistic curve (Platt) fitted on a part of the sample that the model has not seen.
+mapped to 0..1 by a logistic curve (Platt) fitted on cross-validated margins.
 
 Training reads at most TRAIN_ROWS labelled rows, those with the smallest hash of their id, in one task; the fitted
 weights, of fixed size, go to every task. Scoring reads every row whole and moves no data.
@@ -30,7 +30,9 @@ DIM = 1 << 18
 TRAIN_ROWS = 8000
 SMOOTHING = 1.0
 COST = 0.1
-EPOCHS = 12
+EPOCHS = 8
+#: The logistic curve is fitted on margins of rows that their fold's model has not seen.
+FOLDS = 3
 THRESHOLD = 0.3
 _ORDERS = (1, 2, 3, 4)
 
@@ -128,19 +130,26 @@ def fit(rows: list[np.ndarray], label: np.ndarray) -> np.ndarray:
         share = (n1 + 1) / (len(y) + 2)
         out[DIM + 2] = np.log(share / (1 - share))
         return out
-    part = np.arange(len(rows)) % 5 != 0
-    if len({*y[part]}) < 2 or len({*y[~part]}) < 2:
-        part[:] = True
+    margin = np.zeros(len(rows))
+    fold = np.arange(len(rows)) % FOLDS
+    for k in range(FOLDS):
+        train_, test = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+        if len({*y[train_]}) < 2:
+            train_ = np.arange(len(rows))
+        w, bias = support_vectors([rows[i] for i in train_], y[train_])
+        margin[test] = [w[rows[i]].sum() + bias for i in test]
+    out[:DIM], out[DIM] = support_vectors(rows, y)
+    out[DIM + 1], out[DIM + 2] = platt(margin, y)
+    return out
+
+
+def support_vectors(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights by feature and bias: log-count ratios, then coordinate descent on the scaled indicators."""
     counts = np.full((2, DIM), SMOOTHING)
-    for r, t in zip((rows[i] for i in np.flatnonzero(part)), y[part], strict=True):
+    for r, t in zip(rows, y, strict=True):
         counts[int(t > 0), r] += 1
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
-    w, bias = coordinate_descent([rows[i] for i in np.flatnonzero(part)], y[part], ratio)
-    test = ~part if (~part).any() else part
-    margin = np.array([w[rows[i]].sum() + bias for i in np.flatnonzero(test)])
-    out[:DIM], out[DIM] = w, bias
-    out[DIM + 1], out[DIM + 2] = platt(margin, y[test])
-    return out
+    return coordinate_descent(rows, y, ratio)
 
 
 def _featured(b: pa.RecordBatch) -> pa.RecordBatch:

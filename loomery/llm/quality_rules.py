@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomery.llm.line_dedup import with_text
 from loomery.llm.lines import HAS_WORD, SPACES, let, normal, text_lines, words
 
 #: A document needs so many words, and at most this share of them in repeated 3-word windows.
@@ -182,8 +183,8 @@ def apply_rules(docs: DataFrame) -> DataFrame:
 
     ``n_chars``, where there is one, follows the new text.
     """
-    names = docs.columns
-    base = _keyed(docs)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # no name of a column can clash with ours
+    base = _keyed(docs.select(row, "doc_id", "source", "text"))
     removed = (
         _removed_lines(base.select("id_key", "text_key", "source", "text"))
         .groupBy("id_key", "text_key")
@@ -198,13 +199,8 @@ def apply_rules(docs: DataFrame) -> DataFrame:
     kept_lines = let(
         text_lines(F.col("text")),
         lambda x: F.array_join(
-            F.transform(
-                F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("gone")), lambda i: F.get(x, i)
-            ),
-            "\n",
+            F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("gone")), lambda i: F.get(x, i)), "\n"
         ),
     )
     j = j.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept_lines))
-    if "n_chars" in names:
-        j = j.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return j.select(*names)
+    return j.select(*with_text(docs))
