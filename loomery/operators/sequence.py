@@ -20,7 +20,7 @@ def reduce_segment(x: Column, lo: Column, hi: Column, mode: str, seed: int = 0)
     if mode == "avgpool":
         return F.aggregate(part, F.lit(0.0), lambda s, v: s + v.cast("double")) / (end - lo)
     if mode == "center":
-        return F.get(x, F.floor((lo + end - 1) / 2).cast("int"))
+        return F.get(x, lo + F.floor((end - lo) / 2).cast("int"))
     if mode == "tail":
         return F.get(x, end - 1)
     if mode == "random":

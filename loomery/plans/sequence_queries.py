@@ -49,7 +49,7 @@ ROUND = """WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUB
  greatest(least(round_even((i + 1) / 10.0 * 64, 0), 63), least(round_even(i / 10.0 * 64, 0), 63) + 1)::INT AS hi FROM e, range(10) r(i))"""
 
 
-@query(f"{ROUND} SELECT vec_id, list(round(list_avg(list_slice(x, lo + 1, hi)), 6) ORDER BY i) AS avgs, list(round(list_max(list_slice(x, lo + 1, hi)), 6) ORDER BY i) AS maxs, list(round(x[hi], 6) ORDER BY i) AS tails, list(round(x[(lo + hi - 1) // 2 + 1], 6) ORDER BY i) AS centers FROM b GROUP BY 1")
+@query(f"{ROUND} SELECT vec_id, list(round(list_avg(list_slice(x, lo + 1, hi)), 6) ORDER BY i) AS avgs, list(round(list_max(list_slice(x, lo + 1, hi)), 6) ORDER BY i) AS maxs, list(round(x[hi], 6) ORDER BY i) AS tails, list(round(x[lo + (hi - lo) // 2 + 1], 6) ORDER BY i) AS centers FROM b GROUP BY 1")
 def segment_round(t: Tables):
     x = F.col("embedding").cast("array<double>")
     made = {k: S.resample_round(x, 10, m) for k, m in (("avgs", "avgpool"), ("maxs", "maxpool"), ("tails", "tail"), ("centers", "center"))}
