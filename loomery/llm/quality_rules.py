@@ -5,8 +5,8 @@ documents of every (host, line) are counted, lines found in more documents than
 document that loses too much of its text that way is rejected.
 
 Copies and near copies of one document must not count as many documents, or every member of a large group of copies
-would be rejected with no member left. A document is therefore identified by the smallest hash of its lines, which
-copies share, and distinct identities are counted.
+would be rejected with no member left. For each line a document is therefore identified by the smallest hash among its
+other lines, which copies share, and distinct identities are counted.
 
 Defined cases: null text is the empty text; a null source is a host of its own; a row is one document even where its
 doc_id repeats or is null (rows that agree in every column but are repeated get the same verdict); columns other than
@@ -95,18 +95,28 @@ def common_lines(docs: DataFrame) -> DataFrame:
 
     Two aggregations with map-side combine; no group is gathered, whatever its size.
     """
-    hashed = docs.select(
-        F.col("source").alias("host"),
-        F.array_distinct(
-            F.transform(
-                F.filter(text_lines(F.col("text")), lambda x: x.rlike(HAS_WORD)), lambda x: F.xxhash64(normal(x))
-            )
-        ).alias("hs"),
-    ).withColumn("ident", F.coalesce(F.array_min("hs"), F.lit(0)))
+    lines = F.array_distinct(F.transform(F.filter(text_lines(F.col("text")), lambda x: x.rlike(HAS_WORD)), normal))
+
+    def with_identity(n: Column) -> Column:
+        return let(
+            F.slice(F.sort_array(F.transform(n, lambda x: F.md5(x))), 1, 2),
+            lambda m: F.struct(
+                F.coalesce(F.get(m, F.lit(0)), F.lit("")).alias("ident"),
+                F.transform(
+                    n,
+                    lambda x: F.struct(
+                        F.xxhash64(x).alias("h"),
+                        F.coalesce(F.get(m, F.when(F.md5(x) == F.get(m, F.lit(0)), 1).otherwise(0)), F.lit("")).alias("ident"),
+                    ),
+                ).alias("lines"),
+            ),
+        )
+
+    hashed = docs.select(F.col("source").alias("host"), let(lines, with_identity).alias("b")).select("host", "b.ident", "b.lines")
     hosts = hashed.groupBy("host", "ident").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("docs"))
     per_line = (
-        hashed.select("host", "ident", F.explode("hs").alias("h"))
-        .groupBy("host", "h", "ident")
+        hashed.select("host", F.explode("lines").alias("x"))
+        .groupBy("host", F.col("x.h").alias("h"), F.col("x.ident").alias("ident"))
         .agg(F.lit(1).alias("one"))
         .groupBy("host", "h")
         .agg(F.count("*").alias("n_docs"))

@@ -370,3 +370,13 @@ def test_pipeline(spark, small):
     packed = {r.doc_id for r in frames[-1].collect()}
     assert packed == {r.doc_id for r in frames[-2].collect()}
     assert cp.run(spark, small).count() == frames[-1].count()
+
+
+@pytest.mark.parametrize("name", ["op7_quality_rules", "op10_line_dedup"])
+def test_same_rows_as_sql(spark, small, name):
+    from loomery.llm import queries as q
+
+    from tests.oracle import compare
+
+    differs, n = compare(spark, q.queries()[name], q.oracle_sql()[name], small)
+    assert not differs and n > 0
