@@ -52,11 +52,16 @@ SCOPE = frozenset("ul ol dl table body html article section div td th".split())
 #: Words of class, id and role values that mark a block as something beside the text.
 SIDE = re.compile(
     r"(?:^|[^a-z])(?:ads?|advert\w*|adsense|adslot|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|gdpr|notice\w*|"
-    r"alert\w*|popup|modal|overlay|newsletter|subscribe\w*|signup|paywall|comment\w*|disqus|respond|replies|reviews?|"
+    r"alert\w*|popup|modal|overlay|newsletter|subscribe\w*|signup|paywall|comment\w*|disqus|discussion|respond|responses?|repl(?:y|ies)|reviews?|feedback|"
     r"sidebar\w*|side|aside|widget\w*|related\w*|recommend\w*|trending|share\w*|sharing|social\w*|breadcrumbs?|"
     r"nav\w*|menu\w*|pagination|pager|masthead|footer\w*|foot|header|head|topbar|toolbar|skip\w*|copyright|legal|"
     r"disclaimer|search\w*|login|complementary|contentinfo|navigation)(?:$|[^a-z])"
 )
+#: What an article element may be beside the article: comments are often articles of their own.
+SIDE_ARTICLE = re.compile(r"(?:^|[^a-z])(?:comment\w*|repl(?:y|ies)|reviews?|related\w*|promo\w*|sponsor\w*|ads?|advert\w*|teaser)(?:$|[^a-z])")
+#: Names of content blocks, and marks that only say what stands beside a block.
+CONTENT = frozenset("content main article post entry page container wrapper story body text layout".split())
+BESIDE = re.compile(r"(?:^|-)(?:has|with|without|no|is|layout)-")
 #: Headers that belong to the article itself.
 TITLE = re.compile(r"(?:entry|post|article|story|content)-(?:header|head)")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -77,8 +82,15 @@ class Node:
         self.kids: list[Node | str] = []
 
 
-def _is_side(tag: str, attrs: str, inside_content: bool) -> bool:
-    if tag in NEVER:
+def _named_side(tag: str, value: str) -> bool:
+    names = [x for x in TITLE.sub("", value.replace("_", "-")).split() if not BESIDE.search(x)]
+    if tag in ("article", "main"):
+        return any(SIDE_ARTICLE.search(x) for x in names)
+    return not CONTENT.intersection(names) and any(SIDE.search(x) for x in names)
+
+
+def _is_side(tag: str, attrs: str, inside_content: bool, names: bool) -> bool:
+    if tag in NEVER and (names or tag not in ("form", "fieldset")):
         return True
     if tag in ("header", "footer") and not (tag == "header" and inside_content):
         return True
@@ -88,14 +100,16 @@ def _is_side(tag: str, attrs: str, inside_content: bool) -> bool:
         name, value = name.lower(), (a or b or c).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and HIDDEN.search(value):
             return True
-        if name in ("class", "id", "role") and tag not in ("body", "html", "article", "main"):
-            if SIDE.search(TITLE.sub("", value.replace("_", "-"))):
-                return True
+        if names and name in ("class", "id", "role") and _named_side(tag, value):
+            return True
     return False
 
 
-def parse(html: str) -> Node:
-    """The tree of a page; text inside raw elements is dropped with them."""
+def parse(html: str, names: bool = True) -> Node:
+    """The tree of a page; text inside raw elements is dropped with them.
+
+    ``names``: blocks are judged by class, id and role too, and forms are cut.
+    """
     root = Node("html", None)
     node, at, content = root, 0, 0
     low = None
@@ -124,7 +138,7 @@ def parse(html: str) -> Node:
             for other in CLOSES.get(tag, ()):
                 node = _implied(node, other)
             inside = content > 0 or any(x.tag in ("article", "main") for x in _up(node))
-            child = Node(tag, node, _is_side(tag, attrs, inside))
+            child = Node(tag, node, _is_side(tag, attrs, inside, names))
             node.kids.append(child)
             if tag not in VOID and not attrs.endswith("/"):
                 node = child
@@ -253,8 +267,12 @@ def text_of(node: Node) -> str:
 def main_text(html: str | None) -> str:
     if not html:
         return ""
-    node = main_node(parse(html))
-    return "" if node is None else text_of(node)
+    for names in (True, False):  # a page that is one form, or all of whose blocks have side names, is read without them
+        node = main_node(parse(html, names))
+        text = "" if node is None else text_of(node)
+        if text:
+            break
+    return text
 
 
 def extract(pages: DataFrame) -> DataFrame:

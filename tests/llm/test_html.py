@@ -31,6 +31,12 @@ def test_noise_inside_the_article():
     assert main_text(html) == f"H {PROSE.strip()} {PROSE.strip()}"
 
 
+def test_names_of_blocks():
+    html = page(f"<div class='content has-sidebar'><p>{PROSE}</p></div><article class=comment><p>{PROSE}</p></article><div class='sidebar-content'>{PROSE}</div>")
+    assert main_text(html) == PROSE.strip()
+    assert main_text(page(f"<form><div><p>{PROSE}</p></div></form>")) == PROSE.strip()
+
+
 def test_odd_pages():
     for x in (None, "", "   ", "<html></html>", "<!-- only -->", "<script>x", "<p", "<body><nav>menu</nav></body>"):
         assert main_text(x) == ""
