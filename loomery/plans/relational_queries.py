@@ -134,7 +134,7 @@ def dimension_lookup(t: Tables):
 
 
 @query("""WITH b AS (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS word FROM benchmark), v AS (SELECT word, row_number() OVER (ORDER BY word) + 1 AS id FROM b WHERE word <> ''),
- k AS (SELECT item_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM (SELECT item_id, list_filter(string_split(lower(text), ' '), lambda x: x <> '')[:20] AS w FROM benchmark))
+ k AS (SELECT item_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM (SELECT item_id, list_filter(string_split(lower(text), ' '), lambda x: x <> '') AS w FROM benchmark))
  SELECT item_id, list(coalesce(CASE WHEN len(word) > 3 THEN id END, 1) ORDER BY p) AS ids FROM k LEFT JOIN v USING (word) GROUP BY 1""")
 def vocab_lookup(t: Tables):
     from loomery.operators.ordering import with_position
@@ -142,7 +142,7 @@ def vocab_lookup(t: Tables):
     w = F.filter(F.split(F.lower("text"), " "), lambda x: x != "")
     words = t.benchmark.select(F.explode(w).alias("word")).distinct()
     vocab = with_position(words, ["word"], "id").select("word", (F.col("id") + 2).alias("id")).filter(F.length("word") > 3)
-    return R.encode_tokens(t.benchmark.select("item_id", F.slice(w, 1, 20).alias("tokens")), "item_id", "tokens", vocab, 1)
+    return R.encode_tokens(t.benchmark.select("item_id", w.alias("tokens")), "item_id", "tokens", vocab, 1)
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -158,9 +158,9 @@ def batch_gather(t: Tables):
     return t.embeddings.select("vec_id", gather(x, F.array(*[F.lit(k) for k in (0, 3, 5, 63)])).alias("picked"))
 
 
-@query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_custkey % 3 = 0")
+@query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 0")
 def resolved_context(t: Tables):
-    right = t.customer.filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    right = t.customer.filter("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), "c_name")
     return R.resolve(t.orders, right, "o_custkey")[0].select("o_orderkey", "c_name")
 
 

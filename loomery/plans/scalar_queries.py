@@ -88,10 +88,10 @@ def str_hash(t: Tables):
     return t.documents.select("doc_id", X.str_hash(F.col("text")).alias("h"), X.dataset_hash(F.col("text")).alias("d"))
 
 
-@query("SELECT doc_id, md5(encode(left(text, 100))) AS head, md5(text) AS whole FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, md5(array_slice(encode(text), 1, 40960)) AS head, md5(text) AS whole FROM documents")
 def content_hash(t: Tables):
-    d = t.documents.filter("lang = 'en'")
-    return d.select("doc_id", X.file_hash(F.encode(F.substring("text", 1, 100), "UTF-8")).alias("head"), X.content_md5(F.col("text")).alias("whole"))
+    content = F.encode("text", "UTF-8")
+    return t.documents.select("doc_id", X.file_hash(content).alias("head"), X.content_md5(content).alias("whole"))
 
 
 @query("SELECT event_id, (hour(ts) * 3600 + minute(ts) * 60 + second(ts))::DOUBLE AS secs FROM events")
@@ -183,10 +183,10 @@ def temporal_params(t: Tables):
     return t.part.select("p_partkey", r.alias("r")).select("p_partkey", "r.num_frames", F.round("r.fps", 9).alias("fps"))
 
 
-@query("SELECT o_orderkey AS step, round(CASE WHEN o_orderkey < 100 THEN o_orderkey / 99.0 ELSE 0.1 + 0.45 * (1 + cos(pi() * (o_orderkey - 100) / 1400.0)) END, 9) AS lr FROM orders WHERE o_orderkey < 1500")
+@query("SELECT o_orderkey AS step, round(CASE WHEN o_orderkey < 100 THEN o_orderkey / 99.0 ELSE 0.1 + 0.45 * (1 + cos(pi() * (o_orderkey - 100) / 9999900.0)) END, 9) AS lr FROM orders")
 def warmup_schedule(t: Tables):
     s = F.col("o_orderkey")
-    return t.orders.filter(s < 1500).select(s.alias("step"), F.round(N.cosine_warmup(s, 100, 1500, floor=0.1), 9).alias("lr"))
+    return t.orders.select(s.alias("step"), F.round(N.cosine_warmup(s, 100, 10_000_000, floor=0.1), 9).alias("lr"))
 
 
 @query("""SELECT doc_id, list_transform(list_filter(range(4), lambda i: i * p <= n_chars - 1), lambda i: [i * p, least((i + 1) * p - 1, n_chars - 1)]) AS spans

@@ -93,9 +93,9 @@ def subsample(t: Tables):
     return t.embeddings.select("vec_id", S.subsample(x, 7, 2).alias("x"), S.slice_array(x, 3, 8).alias("s"))
 
 
-@query("SELECT vec_id, (generate_subscripts(embedding, 1) - 1)::INT AS pos, unnest(embedding)::DOUBLE AS value FROM embeddings WHERE vec_id < 100")
+@query("SELECT vec_id, (generate_subscripts(embedding, 1) - 1)::INT AS pos, unnest(embedding)::DOUBLE AS value FROM embeddings")
 def flatten_arrays(t: Tables):
-    e = t.embeddings.filter("vec_id < 100").withColumn("x", F.col("embedding").cast("array<double>"))  # the contract's table is 64 wide
+    e = t.embeddings.withColumn("x", F.col("embedding").cast("array<double>"))
     return S.unstack(e, "x", ["vec_id"])
 
 

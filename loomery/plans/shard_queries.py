@@ -82,10 +82,10 @@ def tar_plan(t: Tables):
     return tars.tar_plan(t.documents.select("doc_id", "n_chars"), "doc_id", "n_chars", 50000).select("doc_id", "tar")
 
 
-@query("SELECT n_nationkey, 'p' || n_regionkey AS part FROM nation WHERE n_nationkey % 3 <> 0")
+@query("SELECT n_nationkey, 'p' || n_regionkey AS part FROM nation WHERE n_regionkey <> 3")
 def node_lines(t: Tables):
     k = F.col("n_nationkey")
-    line = F.format_string("node=%d partition=p%d gpu_type=%s", k, F.col("n_regionkey"), F.when(k % 3 == 0, "").otherwise("x"))
+    line = F.format_string("node=%d partition=p%d gpu_type=%s", k, F.col("n_regionkey"), F.when(F.col("n_regionkey") == 3, "").otherwise("x"))
     return tars.node_lines(t.nation.select(line.alias("line"))).select(F.col("m")["node"].cast("int").alias("n_nationkey"), F.col("m")["partition"].alias("part"))
 
 
