@@ -51,11 +51,9 @@ def members(df: DataFrame, column: str, values: Sequence, single: str | None = N
     """Rows whose column is in ``values``; with ``single``, it is an error if that column has several values."""
     out = df.filter(F.col(column).isin(list(values)))
     if single:
-        n = F.size(F.collect_set(single).over(Window.partitionBy(F.lit(1))))
-        out = out.withColumn("_n", n).withColumn(
-            single, F.when(F.col("_n") == 1, F.col(single)).otherwise(F.raise_error(F.lit(f"several values of {single}")))
-        )
-        out = out.drop("_n")
+        n = out.agg(F.min(single).alias("_lo"), F.max(single).alias("_hi"))  # one row
+        one = F.when(F.col("_lo").eqNullSafe(F.col("_hi")), F.col(single)).otherwise(F.raise_error(F.lit(f"several values of {single}")))
+        out = out.crossJoin(F.broadcast(n)).withColumn(single, one).drop("_lo", "_hi")
     return out
 
 

@@ -161,3 +161,10 @@ def test_order_needs_no_single_task(spark):
     df = ordering.with_position(spark.range(1000).repartition(7), [F.desc("id")])
     assert [r.pos for r in df.orderBy(F.desc("id")).limit(5).collect()] == [0, 1, 2, 3, 4]
     assert df.agg(F.max("pos")).first()[0] == 999
+
+
+def test_members_of_one_partition(spark):
+    df = spark.createDataFrame([("a", "p"), ("b", "p"), ("c", "q")], "node string, part string")
+    assert relational.members(df, "node", ["a", "b"], single="part").count() == 2
+    with pytest.raises(Exception, match="several values"):
+        relational.members(df, "node", ["a", "c"], single="part").collect()
