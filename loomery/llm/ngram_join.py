@@ -41,7 +41,9 @@ BLOCK_ROWS = 4096
 VERIFY_COST = 0.25
 #: Tokens that one task joins; a group beyond is cut into parts of half of it.
 GROUP_TOKENS = 4_000_000
-SALT_BITS = 31
+#: Stand-ins for null ids take the highest 2**31 numbers.
+STAND_IN_BITS = 31
+SALTS = 16
 OWNERS, COUNTS = range(2)
 TOLD = "block long, kind int, bucket long, a binary, b binary"
 TOLD_PA = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
@@ -309,7 +311,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     n = max(partitions(spark), -(-docs.count() // BLOCK_ROWS))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # a null id gets a stand-in above all ids, from the text
-    stand_in = F.lit(2**63 - 1) - F.pmod(F.xxhash64(text), F.lit(1 << SALT_BITS))
+    stand_in = F.lit(2**63 - 1) - F.pmod(F.xxhash64(text), F.lit(1 << STAND_IN_BITS))
     named = docs.select(F.col("doc_id").cast("long").alias("real"), F.coalesce(F.col("doc_id").cast("long"), stand_in).alias("doc_id"), text.alias("text"))
     block = F.pmod(F.xxhash64("doc_id"), F.lit(n))
     dealt = named.select("doc_id", F.md5("text").alias("m"), "text").withColumn("block", block).repartition(n, "block")
@@ -345,12 +347,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = open_.select("doc_id", "base", "tokens").mapInArrow(prefixes, SENT).groupBy("bucket").applyInArrow(lambda t: _stars(t), EDGE)
     links = _linked(open_, components(stars), n)
     classes = components(written(links, "links"))
-    owned = texts.join(owners, "m")
+    # only repeated texts need their owner looked up; one text may be a third of all rows, so they are salted
+    repeated = texts.groupBy("m").agg(F.min("doc_id").alias("first"), F.count("*").alias("k")).filter("k > 1")
+    repeated = repeated.select("m", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = texts.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    owned = salted.join(repeated, ["m", "salt"], "left").select("real", "m", F.coalesce("first", "doc_id").alias("owner"))
     size = info.select(F.col("doc_id").alias("owner"), "m", F.col("n").alias("n_shingles"))
     named_class = classes.select(F.col("v").alias("owner"), "c")
     out = owned.join(size, ["owner", "m"]).join(named_class, "owner", "left")
     smallest = F.coalesce("c", "owner")
-    smallest = F.when(smallest <= F.lit(2**63 - 1 - (1 << SALT_BITS)), smallest)
+    smallest = F.when(smallest <= F.lit(2**63 - 1 - (1 << STAND_IN_BITS)), smallest)
     return out.select(
         F.col("real").alias("doc_id"), "n_shingles", F.when(F.col("n_shingles") == 0, F.col("real")).otherwise(smallest).alias("component_id")
     )
