@@ -200,12 +200,14 @@ def apply_rules(docs: DataFrame) -> DataFrame:
         .groupBy("id_key", "text_key")
         .agg(F.sum("chars").alias("gone_chars"), F.collect_list("pos").alias("gone"))
     )
-    ok = base.withColumn("b", base_struct(F.col("text")))
-    ok = ok.filter(~base_failed(F.col("b.n_words"), F.col("b.n_repeat_words")))
-    ok = ok.withColumn("chars_now", F.col("b.word_chars")).drop("b")
-    j = ok.join(removed, ["id_key", "text_key"], "left")
+    passing = let(
+        base_struct(F.col("text")), lambda b: F.when(~base_failed(b["n_words"], b["n_repeat_words"]), b["word_chars"])
+    )
+    # never null, and judged together with the other side: so the filter stays above the join and the text is measured once
+    judged = base.withColumn("chars_now", F.coalesce(passing, F.lit(-1).cast("long")))
+    j = judged.join(removed, ["id_key", "text_key"], "left")
     left = F.col("chars_now") - F.coalesce("gone_chars", F.lit(0))
-    j = j.filter(left >= MIN_LEFT_SHARE * F.col("chars_now"))
+    j = j.filter(left >= MIN_LEFT_SHARE * F.abs("chars_now"))
     kept_lines = let(
         text_lines(F.col("text")),
         lambda x: F.array_join(
