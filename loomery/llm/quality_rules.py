@@ -5,8 +5,10 @@ documents of every (host, line) are counted, lines found in more documents than
 document that loses too much of its text that way is rejected.
 
 Copies and near copies of one document must not count as many documents, or every member of a large group of copies
-would be rejected with no member left. For each line a document is therefore identified by the smallest hash among its
-other lines, which copies share, and distinct identities are counted.
+would be rejected with no member left. Texts of a host with the same normalised lines are one document. Of the others,
+only documents that the lines could reject are looked at: each is compared with the most typical such document of each
+of its frequent lines, and counts as that one if the lines they share hold COPY_PERCENT of the characters of both
+together. Every merge is so decided on the two documents themselves; all others are counted as what they are, distinct.
 
 Defined cases: null text is the empty text; a null source is a host of its own; a row is one document even where its
 doc_id repeats or is null (rows that agree in every column but are repeated get the same verdict); columns other than
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 
 from loomery.llm.line_dedup import with_text
 from loomery.llm.lines import HAS_WORD, SPACES, let, normal, text_lines, words
+from loomery.llm.workdir import written
 
 #: A document needs so many words, and at most this share of them in repeated 3-word windows.
 MIN_WORDS = 50
@@ -29,6 +32,8 @@ LINE_MIN_DOCS = 50
 LINE_MAX_SHARE = 0.05
 #: A document is depleted if less than this share of its word characters is left.
 MIN_LEFT_SHARE = 0.5
+#: Documents whose shared lines hold this share of their characters, out of those of both together, are near copies.
+COPY_PERCENT = 75
 #: A line of a host may be in a third of all rows: joins to such lines are spread over this many keys.
 SALTS = 16
 
@@ -90,76 +95,95 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEAT_PERCENT * n_words)
 
 
-def common_lines(docs: DataFrame) -> DataFrame:
-    """(host, h, n_docs): the normalised line hashes that are above their host's limit.
+def _line_table(base: DataFrame) -> DataFrame:
+    """(id_key, text_key, host, doc, chars, lines) of each row, the lines as (line, chars) in order, line null if blank.
 
-    Two aggregations with map-side combine; no group is gathered, whatever its size.
+    ``line`` is a hash of the host and the normalised line, ``doc`` of the host and all such lines. The text is split and
+    normalised here only; the table is small beside the texts.
     """
-    lines = F.array_distinct(F.transform(F.filter(text_lines(F.col("text")), lambda x: x.rlike(HAS_WORD)), normal))
-
-    def with_identity(n: Column) -> Column:
-        return let(
-            F.slice(F.sort_array(F.transform(n, lambda x: F.md5(x))), 1, 2),
-            lambda m: F.struct(
-                F.coalesce(F.get(m, F.lit(0)), F.lit("")).alias("ident"),
-                F.transform(
-                    n,
-                    lambda x: F.struct(
-                        F.xxhash64(x).alias("h"),
-                        F.coalesce(F.get(m, F.when(F.md5(x) == F.get(m, F.lit(0)), 1).otherwise(0)), F.lit("")).alias("ident"),
-                    ),
-                ).alias("lines"),
-            ),
+    host = [F.col("source"), F.col("source").isNull()]
+    lines = F.transform(
+        text_lines(F.col("text")),
+        lambda x: F.struct(
+            F.when(x.rlike(HAS_WORD), F.xxhash64(normal(x), *host)).alias("line"),
+            F.length(F.translate(x, SPACES, "")).cast("long").alias("chars"),
+        ),
+    )
+
+    def with_doc(n: Column) -> Column:
+        return F.struct(
+            F.xxhash64(F.filter(F.transform(n, lambda x: x["line"]), lambda x: x.isNotNull()), *host).alias("doc"),
+            F.aggregate(n, F.lit(0).cast("long"), lambda acc, x: acc + x["chars"]).alias("chars"),
+            n.alias("lines"),
         )
 
-    hashed = docs.select(F.col("source").alias("host"), let(lines, with_identity).alias("b")).select("host", "b.ident", "b.lines")
-    hosts = hashed.groupBy("host", "ident").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("docs"))
-    per_line = (
-        hashed.select("host", F.explode("lines").alias("x"))
-        .groupBy("host", F.col("x.h").alias("h"), F.col("x.ident").alias("ident"))
-        .agg(F.lit(1).alias("one"))
-        .groupBy("host", "h")
-        .agg(F.count("*").alias("n_docs"))
-        .filter(F.col("n_docs") > LINE_MIN_DOCS)
+    b = let(lines, with_doc).alias("b")
+    return written(base.select("id_key", "text_key", F.xxhash64(*host).alias("host"), b).select("id_key", "text_key", "host", "b.*"), "lines")
+
+
+def _salted(df: DataFrame) -> DataFrame:
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _salt(*columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int").alias("salt")
+
+
+def _copies(frequent: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(doc, ident): the documents that frequent lines could reject, with the document that each counts as."""
+    # sums over the rows of a document are those of one text times the rows
+    text = sizes.select("doc", "rows", F.col("chars").alias("all_chars"))
+    heavy = frequent.groupBy("doc").agg(F.sum("chars").alias("in_lines")).join(text, "doc")
+    heavy = heavy.filter(F.col("in_lines") > (1 - MIN_LEFT_SHARE) * F.col("all_chars")).select(
+        "doc", "rows", (F.col("all_chars") / F.col("rows")).alias("size"), (F.col("in_lines") / F.col("all_chars")).alias("share")
     )
-    k = hosts.select(F.col("host").alias("k_host"), "docs")
-    return (
-        per_line.join(k, F.col("host").eqNullSafe(F.col("k_host")))
-        .filter(F.col("n_docs") > LINE_MAX_SHARE * F.col("docs"))
-        .select("host", "h", "n_docs")
+    held = frequent.join(heavy, "doc").select("line", "doc", "size", "share", (F.col("chars") / F.col("rows")).alias("chars"))
+    held = written(held, "heavy")
+    typical = held.groupBy("line").agg(F.max(F.struct("share", "doc", "size", "chars")).alias("t"))
+    pairs = held.select("line", "doc", "size", "chars", _salt("doc")).join(_salted(typical), ["line", "salt"])
+    shared = pairs.groupBy("doc", "size", F.struct("t.share", "t.doc").alias("other"), F.col("t.size").alias("other_size")).agg(
+        F.sum(F.least("chars", "t.chars")).alias("both")
     )
+    near = shared.filter(100 * F.col("both") >= COPY_PERCENT * (F.col("size") + F.col("other_size") - F.col("both")))
+    return near.groupBy("doc").agg(F.max("other").alias("other")).select("doc", F.col("other.doc").alias("ident"))
 
 
-def _salted_common(docs: DataFrame) -> DataFrame:
-    c = common_lines(docs).select(F.col("host").alias("c_host"), F.col("h").alias("c_h"))
-    return c.withColumn("c_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+def _common(table: DataFrame) -> DataFrame:
+    """(line, n_docs): the lines of a line table that are above their host's limit.
 
+    Aggregations with map-side combine and salted joins; no group is gathered, whatever its size.
+    """
+    sizes = table.groupBy("host", "doc").agg(F.count("*").alias("rows"), F.sum("chars").alias("chars"))
+    held = (
+        table.select("host", "doc", F.explode("lines").alias("x"))
+        .filter(F.col("x.line").isNotNull())
+        .groupBy(F.col("x.line").alias("line"), "host", "doc")
+        .agg(F.sum("x.chars").alias("chars"))
+    )
+    often = held.groupBy("line").agg(F.count("*").alias("k")).filter(F.col("k") > LINE_MIN_DOCS).select("line")
+    frequent = held.select("*", _salt("doc")).join(_salted(often), ["line", "salt"]).drop("salt")
+    frequent = written(frequent, "frequent")
+    copies = written(_copies(frequent, sizes), "copies")
+    ident = F.coalesce("ident", "doc").alias("ident")
+    hosts = sizes.join(copies, "doc", "left").select("host", ident).distinct().groupBy("host").agg(F.count("*").alias("docs"))
+    per_line = (
+        frequent.join(copies, "doc", "left")
+        .select("line", "host", ident)
+        .distinct()
+        .groupBy("line", "host")
+        .agg(F.count("*").alias("n_docs"))
+        .filter(F.col("n_docs") > LINE_MIN_DOCS)
+    )
+    return per_line.join(hosts, "host").filter(F.col("n_docs") > LINE_MAX_SHARE * F.col("docs")).select("line", "n_docs")
 
-def _removed_lines(docs: DataFrame) -> DataFrame:
+
+def _removed_lines(base: DataFrame) -> DataFrame:
     """(id_key, text_key, pos, chars): the lines of each row that are above the limit, each once."""
-    lines = docs.select(
-        "id_key",
-        "text_key",
-        F.col("source").alias("host"),
-        F.pmod(F.xxhash64("id_key", "text_key"), F.lit(SALTS)).cast("int").alias("salt"),
-        F.posexplode(
-            F.transform(
-                text_lines(F.col("text")),
-                lambda x: F.struct(
-                    F.when(x.rlike(HAS_WORD), F.xxhash64(normal(x))).alias("h"),
-                    F.length(F.translate(x, SPACES, "")).alias("chars"),
-                ),
-            )
-        ).alias("pos", "line"),
-    ).filter(F.col("line.h").isNotNull())
-    c = _salted_common(docs)
-    on = (
-        (F.col("line.h") == F.col("c_h"))
-        & F.col("host").eqNullSafe(F.col("c_host"))
-        & (F.col("salt") == F.col("c_salt"))
-    )
-    found = lines.join(c, on, "left_semi").select("id_key", "text_key", "pos", F.col("line.chars").alias("chars"))
-    return found.distinct()
+    table = _line_table(base)
+    lines = table.select("id_key", "text_key", _salt("id_key", "text_key"), F.posexplode("lines").alias("pos", "x"))
+    lines = lines.filter(F.col("x.line").isNotNull()).select("id_key", "text_key", "salt", "pos", "x.line", "x.chars")
+    found = lines.join(_salted(_common(table).select("line")), ["line", "salt"], "left_semi")
+    return found.select("id_key", "text_key", "pos", "chars").distinct()
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
