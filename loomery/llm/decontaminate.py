@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds propose passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds propose passages, Smith-Waterman alignment scores them.
 
-Words are runs of letters and digits, lower case for A-Z. The seeds of a benchmark item are its 3-word n-grams; the
-number of documents that hold each seed is counted over all documents, and each item keeps its rarest seeds (a fixed
-share, so an item whose whole text is frequent keeps as many as any other). A document with enough rare seeds of an
-item close together has that stretch of words aligned with the item by Smith-Waterman; the score is the alignment's
-share of a verbatim copy's, so it tells copies with replaced, missing or extra words from chance hits.
+Words are runs of letters and digits, lower case for A-Z. The seeds of a benchmark item are its 3-word n-grams, all of
+them: an edited copy may have only its most frequent ones intact. A document with enough seeds of an item close together
+has that stretch of words aligned with the item by Smith-Waterman, unless it holds too few of the item's words to reach
+the least score; the score is the alignment's share of a verbatim copy's, so it tells copies with replaced, missing or
+extra words from chance hits.
 
 Benchmark items are dealt over blocks of bounded bytes; a block's seeds go to all tasks, documents never move. One
 block is the usual case; each more is one more scan.
@@ -27,8 +27,7 @@ from loomery.llm import bytes_np as bn
 
 SEED_WORDS = 3
 MIN_ITEM_WORDS = 5
-#: The share of an item's seeds that is kept, rarest first, and how many of them a passage needs.
-RARE_SHARE = 0.75
+#: How many of an item's seeds a passage needs.
 MIN_HITS = 2
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SCORE = 0.5
@@ -50,9 +49,7 @@ class Seeds:
                 h.append(s)
                 item.append(np.full(len(s), k))
                 pos.append(np.arange(len(s)))
-        self._set(*(np.concatenate(x) if x else np.zeros(0, t) for x, t in ((h, np.uint64), (item, np.int64), (pos, np.int64))))
-
-    def _set(self, h: np.ndarray, item: np.ndarray, pos: np.ndarray) -> None:
+        h, item, pos = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((h, np.uint64), (item, np.int64), (pos, np.int64)))
         order = np.argsort(h, kind="stable")
         h, self.item, self.pos = h[order], item[order], pos[order]
         self.hashes, self.first = np.unique(h, return_index=True)
@@ -60,17 +57,6 @@ class Seeds:
         self.maybe = np.zeros(_FILTER, bool)
         self.maybe[(self.hashes % np.uint64(_FILTER)).astype(np.int64)] = True
 
-    def keep_rare(self, df: np.ndarray) -> None:
-        """Keep each item's rarest seeds, given the documents that have each of ``hashes``."""
-        h = np.repeat(self.hashes, np.diff(self.first))
-        d = np.repeat(df, np.diff(self.first))
-        order = np.lexsort((self.pos, d, self.item))
-        sizes = np.bincount(self.item, minlength=len(self.ids))
-        starts = np.cumsum(sizes) - sizes
-        rank = np.arange(len(order)) - np.repeat(starts, sizes)
-        keep = order[rank < np.ceil(RARE_SHARE * np.repeat(sizes, sizes))]
-        self._set(h[keep], self.item[keep], self.pos[keep])
-
     def hits(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position in ``shingles``, index in ``hashes``) of every seed found."""
         at = np.flatnonzero(self.maybe[(shingles % np.uint64(_FILTER)).astype(np.int64)])
@@ -134,6 +120,8 @@ def matches(words: np.ndarray, seeds: Seeds) -> list[tuple[int, float, int, int]
         found = (0.0, 0, 0)
         for a, b in passages(at[part], pos[part], len(w)):
             a, b = max(a, 0), min(b, len(words))
+            if np.isin(w, words[a:b]).sum() < MIN_SCORE * len(w):
+                continue  # the score is at most MATCH for each word of the item that is there
             score, end = align(w, words[a:b])
             share = score / (MATCH * len(w))
             if share > found[0]:
@@ -154,15 +142,6 @@ def document_words(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
             yield a + k, h[first[k] : first[k + 1]]
 
 
-def _count(batches: Iterator[pa.RecordBatch], seeds: Seeds) -> pa.RecordBatch:
-    df = np.zeros(len(seeds.hashes), np.int64)
-    for b in batches:
-        for _, w in document_words(b.column("text")):
-            df[np.unique(seeds.hits(bn.shingles(w, SEED_WORDS))[1])] += 1
-    k = np.flatnonzero(df)
-    return pa.RecordBatch.from_arrays([pa.array(k), pa.array(df[k])], ["k", "n"])
-
-
 def _find(b: pa.RecordBatch, seeds: Seeds) -> pa.RecordBatch:
     rows = [(i, *m) for i, w in document_words(b.column("text")) for m in matches(w, seeds)]
     ids = b.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64()))
@@ -181,25 +160,15 @@ def _clean(b: pa.RecordBatch, seeds: Seeds) -> pa.RecordBatch:
 
 
 def seed_blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator:
-    """Broadcast seeds, rare ones only, of each block of benchmark items."""
+    """Broadcast seeds of each block of benchmark items."""
     spark: SparkSession = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // BLOCK_BYTES))
-    texts = docs.select(F.col("text").cast("string").alias("text"))
     for k in range(n):
         block = items.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == k) if n > 1 else items
         rows = sorted(block.collect(), key=lambda r: (r.item_id is None, r.item_id, r.text or ""))  # about BLOCK_BYTES
         seeds = Seeds([r.item_id for r in rows], [item_words(r.text) for r in rows])
-        sent = spark.sparkContext.broadcast(seeds)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            yield _count(batches, sent.value)
-
-        df = np.zeros(len(seeds.hashes), np.int64)
-        for r in texts.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
-            df[r.k] = r.n
-        seeds.keep_rare(df)
         yield spark.sparkContext.broadcast(seeds)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from loomery.llm import quality_rules
+from loomery.llm import decontaminate, quality_rules
 
 from tests.llm.conftest import frame
 
@@ -26,3 +26,15 @@ def test_near_copies_are_not_rejected_as_a_whole(spark):
     rows += [(1 + i, "\n".join(prose(10) if k == i % 10 else x for k, x in enumerate(base)), "a") for i in range(150)]
     got = quality_rules.measure(frame(spark, rows)).collect()
     assert all(r.kept and r.line_chars_removed == 0 for r in got)
+
+
+def test_edited_copies_are_found_by_their_most_frequent_seeds(spark):
+    w = [f"q{k}" for k in range(15)]
+    edited = " ".join("new" if k in (3, 7, 11) else x for k, x in enumerate(w))
+    long = [f"r{k}" for k in range(60)]
+    fourth = " ".join("new" if k % 4 == 3 else x for k, x in enumerate(long))
+    rows = [(1, f"before {edited} after", "s0"), (2, f"before {fourth} after", "s0")]
+    rows += [(10 + i, " ".join(w[:3]) + f" x{i} " + " ".join(w[12:]), "s0") for i in range(20)]  # intact seeds are frequent
+    bench = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(long))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find(frame(spark, rows), bench).collect()}
+    assert got == {(1, 1), (2, 2)}
