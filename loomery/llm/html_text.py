@@ -14,7 +14,8 @@ blocks whose class or id names them as adverts, notices, comments, sidebars or m
 decides only between real candidates; nothing inside the chosen node is dropped or capped afterwards.
 
 Defined cases: null or blank html and pages without text give an empty text; unclosed and mis-nested tags are closed as
-browsers do for p, li, td, tr, option, dt and dd; character references are decoded once; a character reference that
+browsers do for p, li, td, tr, option, dt and dd, and a head without end tag where its first text, the body or an element
+that is not of a head begins; character references are decoded once; a character reference that
 names no character stays as it is; rows are independent, so ties and repeats change nothing.
 """
 
@@ -74,6 +75,10 @@ ATTR = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"
 SPACE = re.compile(r"\s+")
 
 
+#: What may stand in a head; anything else ends it.
+HEAD = frozenset("base basefont bgsound head link meta noscript template".split()) | RAW
+
+
 class Node:
     __slots__ = ("tag", "kids", "parent", "side", "c", "t", "lc", "lt", "dsum", "density")
 
@@ -115,6 +120,8 @@ def parse(html: str, names: bool = True) -> Node:
     low = None
     for m in iter(lambda: TOKEN.search(html, at), None):
         if m.start() > at:
+            if node.tag == "head" and html[at : m.start()].strip():
+                node = _after_head(node)
             node.kids.append(html[at : m.start()])
         at = m.end()
         end, tag = m[1], m[2] or m[4]
@@ -130,9 +137,13 @@ def parse(html: str, names: bool = True) -> Node:
                     at = len(html) if close < 0 else close + 1
                 continue
             if tag in ("html", "body"):
-                if tag == "body" and node is root:
-                    node = _open(root, "body")
+                if tag == "body":
+                    head = next((x for x in _up(node) if x.tag == "head"), None)
+                    node = node if head is None else head.parent
+                    node = _open(root, "body") if node is root else node
                 continue
+            if node.tag == "head" and tag not in HEAD:
+                node = _after_head(node)
             if tag in BLOCK:
                 node = _implied(node, "p")
             for other in CLOSES.get(tag, ()):
@@ -152,6 +163,8 @@ def parse(html: str, names: bool = True) -> Node:
             if up is not None and up.parent is not None:
                 node = up.parent
     if at < len(html):
+        if node.tag == "head" and html[at:].strip():
+            node = _after_head(node)
         node.kids.append(html[at:])
     return root
 
@@ -162,6 +175,11 @@ def _open(parent: Node, tag: str) -> Node:
     return child
 
 
+def _after_head(head: Node) -> Node:
+    """Where content goes that ends an open ``head``: the body that so begins."""
+    return _open(head.parent, "body") if head.parent.parent is None else head.parent
+
+
 def _up(node: Node | None) -> Iterator[Node]:
     while node is not None:
         yield node

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from loomery.llm import decontaminate, quality_rules
+from loomery.llm.html_text import main_text
 
 from tests.llm.conftest import frame
 
@@ -38,3 +40,10 @@ def test_edited_copies_are_found_by_their_most_frequent_seeds(spark):
     bench = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(long))], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.find(frame(spark, rows), bench).collect()}
     assert got == {(1, 1), (2, 2)}
+
+
+@pytest.mark.parametrize("start", ["<body>", "", "</head>", "</head><body>", "<noscript><link href=x></noscript><body>", "<noscript><img src=x><body>"])
+def test_a_head_may_be_left_open(start):
+    prose = "The quick brown fox jumps over the lazy dog near the river bank while it rains."
+    assert main_text(f"<html><head><title>t</title><meta charset=utf-8><script>x</script>\n{start}<div><p>{prose}</p><p>{prose}</p></div>") == f"{prose} {prose}"
+    assert main_text(f"<html><head><title>t</title>{start}{prose}") == prose
