@@ -27,11 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomery.llm import bytes_np as bn
 from loomery.llm.graphs import components
+from loomery.llm.lines import HAS_WORD
 from loomery.llm.workdir import partitions, written
 
 WORDS = 5
@@ -305,14 +306,21 @@ def _linked(info: DataFrame, groups: DataFrame, n: int) -> DataFrame:
     return out.unionByName(cut.groupBy("c", "i", "j").applyInArrow(lambda t: _join_rows(t, "c"), EDGE))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def _text() -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
+
+
+def _row_id() -> Column:
+    """The doc_id; a null one gets a stand-in above all ids, from the text."""
+    stand_in = F.lit(2**63 - 1) - F.pmod(F.xxhash64(_text()), F.lit(1 << STAND_IN_BITS))
+    return F.coalesce(F.col("doc_id").cast("long"), stand_in)
+
+
+def _classes(docs: DataFrame) -> DataFrame:
+    """real (the doc_id), doc_id (or its stand-in), m (the text's hash), n_shingles and least, the least id of the class, of every row."""
     spark = docs.sparkSession
     n = max(partitions(spark), -(-docs.count() // BLOCK_ROWS))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    # a null id gets a stand-in above all ids, from the text
-    stand_in = F.lit(2**63 - 1) - F.pmod(F.xxhash64(text), F.lit(1 << STAND_IN_BITS))
-    named = docs.select(F.col("doc_id").cast("long").alias("real"), F.coalesce(F.col("doc_id").cast("long"), stand_in).alias("doc_id"), text.alias("text"))
+    named = docs.select(F.col("doc_id").cast("long").alias("real"), _row_id().alias("doc_id"), _text().alias("text"))
     block = F.pmod(F.xxhash64("doc_id"), F.lit(n))
     dealt = named.select("doc_id", F.md5("text").alias("m"), "text").withColumn("block", block).repartition(n, "block")
     texts = named.select("real", "doc_id", F.md5("text").alias("m"))
@@ -351,20 +359,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     repeated = texts.groupBy("m").agg(F.min("doc_id").alias("first"), F.count("*").alias("k")).filter("k > 1")
     repeated = repeated.select("m", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salted = texts.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    owned = salted.join(repeated, ["m", "salt"], "left").select("real", "m", F.coalesce("first", "doc_id").alias("owner"))
+    owned = salted.join(repeated, ["m", "salt"], "left").select("real", "doc_id", "m", F.coalesce("first", "doc_id").alias("owner"))
     size = info.select(F.col("doc_id").alias("owner"), "m", F.col("n").alias("n_shingles"))
     named_class = classes.select(F.col("v").alias("owner"), "c")
     out = owned.join(size, ["owner", "m"]).join(named_class, "owner", "left")
-    smallest = F.coalesce("c", "owner")
-    smallest = F.when(smallest <= F.lit(2**63 - 1 - (1 << STAND_IN_BITS)), smallest)
-    return out.select(
-        F.col("real").alias("doc_id"), "n_shingles", F.when(F.col("n_shingles") == 0, F.col("real")).otherwise(smallest).alias("component_id")
+    return out.select("real", "doc_id", "m", "n_shingles", F.coalesce("c", "owner").alias("least"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    named = F.when(F.col("least") <= F.lit(2**63 - 1 - (1 << STAND_IN_BITS)), F.col("least"))
+    return _classes(docs).select(
+        F.col("real").alias("doc_id"), "n_shingles", F.when(F.col("n_shingles") == 0, F.col("real")).otherwise(named).alias("component_id")
     )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each class, the one that names it; null ids stay if their class has no name."""
-    named = near_duplicates(docs)
-    gone = named.filter("component_id is not null and (doc_id is null or doc_id <> component_id)").select("doc_id").distinct()
-    kept = docs.join(gone.filter("doc_id is not null"), "doc_id", "left_anti")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` with one document of each class, the one that names it; of a class of null ids alone one row.
+
+    A row is known by its id, or the stand-in of a null one, and its text. Rows without words are in no class and stay.
+    """
+    gone = _classes(docs).filter("n_shingles > 0 and doc_id <> least").select("doc_id", "m").distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # no name of a column can clash with ours
+    anonymous = F.col("doc_id").isNull() & _text().rlike(HAS_WORD)
+    keyed = docs.select(row, _row_id().alias("doc_id"), F.md5(_text()).alias("m"), anonymous.alias("anonymous"))
+    once = keyed.filter("anonymous").dropDuplicates(["doc_id", "m"])
+    kept = keyed.filter("not anonymous").unionByName(once).join(gone, ["doc_id", "m"], "left_anti")
+    return kept.select(*[F.col(f"row.`{c}`") for c in docs.columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
-from loomery.llm import decontaminate, quality_rules
+from loomery.llm import decontaminate, ngram_join, quality_rules
 from loomery.llm.html_text import main_text
 
 from tests.llm.conftest import frame
@@ -47,3 +47,16 @@ def test_a_head_may_be_left_open(start):
     prose = "The quick brown fox jumps over the lazy dog near the river bank while it rains."
     assert main_text(f"<html><head><title>t</title><meta charset=utf-8><script>x</script>\n{start}<div><p>{prose}</p><p>{prose}</p></div>") == f"{prose} {prose}"
     assert main_text(f"<html><head><title>t</title>{start}{prose}") == prose
+
+
+def test_one_row_stays_of_each_class_with_null_ids(spark):
+    rnd = random.Random(8)
+    prose = lambda: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(100))
+    a, b, c = prose(), prose(), prose()
+    rows = [(7, a, "s0"), (None, a, "s1"), (None, a + " more", "s0")]  # a class that 7 names
+    rows += [(None, b, "s0"), (None, b, "s0"), (None, b, "s1"), (None, b + " more", "s0"), (None, "less " + b, "s2")]
+    rows += [(None, c, "s0"), (None, "", "s0"), (None, "", "s0"), (None, None, "s0"), (8, " ", "s0")]
+    kept = ngram_join.keep_one(frame(spark, rows)).collect()
+    assert [r.doc_id for r in kept if r.text == a] == [7] and not any(r.text == a + " more" for r in kept)
+    assert sum(b in (r.text or "") for r in kept) == sum(r.text == c for r in kept) == 1
+    assert sum(not (r.text or "").strip() for r in kept) == 4 and len(kept) == 7
