@@ -17,7 +17,7 @@ ln AS (
 
 OP7 = rf"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(text, '') AS text,
+  SELECT doc_id, coalesce('s' || source, '') AS source, coalesce(text, '') AS text,
          list_filter(string_split_regex(coalesce(text, ''), '{_SPACE}'), lambda x: x <> '') AS w
   FROM documents),
 win AS (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c
@@ -26,11 +26,10 @@ rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc
 cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY 1),
 {_LINES},
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM ln GROUP BY 1),
-two AS (SELECT doc_id, list_sort(list_distinct(list(md5(norm)))) AS m FROM ln GROUP BY 1),
-hosts AS (SELECT source, count(DISTINCT coalesce(m[1], '')) AS docs FROM d LEFT JOIN two USING (doc_id) GROUP BY 1),
-ident AS (SELECT source, norm, coalesce(CASE WHEN md5(norm) = m[1] THEN m[2] ELSE m[1] END, '') AS ident FROM ln JOIN two USING (doc_id)),
-common AS (SELECT source, norm FROM ident JOIN hosts USING (source)
-           GROUP BY source, norm, docs HAVING count(DISTINCT ident) > 50 AND count(DISTINCT ident) > 0.05 * docs),
+same AS (SELECT doc_id, md5(string_agg(norm, chr(10) ORDER BY i)) AS doc FROM ln GROUP BY 1),
+hosts AS (SELECT source, count(DISTINCT coalesce(doc, '')) AS docs FROM d LEFT JOIN same USING (doc_id) GROUP BY 1),
+common AS (SELECT source, norm FROM ln JOIN same USING (doc_id) JOIN hosts USING (source)
+           GROUP BY source, norm, docs HAVING count(DISTINCT doc) > 50 AND count(DISTINCT doc) > 0.05 * docs),
 gone AS (SELECT doc_id, sum(len(chars)) AS n FROM ln JOIN common USING (source, norm) GROUP BY 1),
 base AS (
   SELECT d.doc_id, len(w)::BIGINT AS n_words, len(regexp_replace(text, '{_SPACE}', '', 'g'))::BIGINT AS word_chars,

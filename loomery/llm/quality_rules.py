@@ -4,15 +4,16 @@ Line frequency works per host (the ``source`` column): each document's normalise
 documents of every (host, line) are counted, lines found in more documents than the host's limit are removed, and a
 document that loses too much of its text that way is rejected.
 
-Copies and near copies of one document must not count as many documents, or every member of a large group of copies
-would be rejected with no member left. Texts of a host with the same normalised lines are one document. Of the others,
-only documents that the lines could reject are looked at: each is compared with the most typical such document of each
-of its frequent lines, and counts as that one if the lines they share hold COPY_PERCENT of the characters of both
-together. Every merge is so decided on the two documents themselves; all others are counted as what they are, distinct.
-
-Defined cases: null text is the empty text; a null source is a host of its own; a row is one document even where its
-doc_id repeats or is null (rows that agree in every column but are repeated get the same verdict); columns other than
-doc_id, text and source are passed over.
+Distinct documents are texts that differ: rows of a host whose normalised lines are all the same, in the same order, are
+one document however often it is repeated. No other merging is done: documents that share some or most lines count each.
+
+A host's frequent lines are one row, an array: each is in more than LINE_MAX_SHARE of the host's documents, so there are
+fewer than 1 / LINE_MAX_SHARE times the lines of an average document of it. Documents meet that row by their host, so no
+line table is joined back to documents; a hot host is a skewed join key that adaptive execution splits.
+
+Defined cases: null text is the empty text; a null source is a host of its own; a row is judged by its text and source
+alone, so repeated ids and repeated rows are safe and equal rows get equal verdicts; columns other than doc_id, text and
+source are passed over.
 """
 
 from __future__ import annotations
@@ -32,10 +33,6 @@ LINE_MIN_DOCS = 50
 LINE_MAX_SHARE = 0.05
 #: A document is depleted if less than this share of its word characters is left.
 MIN_LEFT_SHARE = 0.5
-#: Documents whose shared lines hold this share of their characters, out of those of both together, are near copies.
-COPY_PERCENT = 75
-#: A line of a host may be in a third of all rows: joins to such lines are spread over this many keys.
-SALTS = 16
 
 
 def repeat_words(w: Column) -> Column:
@@ -95,121 +92,61 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEAT_PERCENT * n_words)
 
 
-def _line_table(base: DataFrame) -> DataFrame:
-    """(id_key, text_key, host, doc, chars, lines) of each row, the lines as (line, chars) in order, line null if blank.
+def _host() -> list[Column]:
+    return [F.col("source"), F.col("source").isNull()]
 
-    ``line`` is a hash of the host and the normalised line, ``doc`` of the host and all such lines. The text is split and
-    normalised here only; the table is small beside the texts.
-    """
-    host = [F.col("source"), F.col("source").isNull()]
-    lines = F.transform(
-        text_lines(F.col("text")),
+
+def _lines(text: Column) -> Column:
+    """(line, chars) of each line of a text in order: the hash of the normalised line (null if blank) and its word characters."""
+    return F.transform(
+        text_lines(text),
         lambda x: F.struct(
-            F.when(x.rlike(HAS_WORD), F.xxhash64(normal(x), *host)).alias("line"),
+            F.when(x.rlike(HAS_WORD), F.xxhash64(normal(x))).alias("line"),
             F.length(F.translate(x, SPACES, "")).cast("long").alias("chars"),
         ),
     )
 
-    def with_doc(n: Column) -> Column:
-        return F.struct(
-            F.xxhash64(F.filter(F.transform(n, lambda x: x["line"]), lambda x: x.isNotNull()), *host).alias("doc"),
-            F.aggregate(n, F.lit(0).cast("long"), lambda acc, x: acc + x["chars"]).alias("chars"),
-            n.alias("lines"),
-        )
-
-    b = let(lines, with_doc).alias("b")
-    return written(base.select("id_key", "text_key", F.xxhash64(*host).alias("host"), b).select("id_key", "text_key", "host", "b.*"), "lines")
-
-
-def _salted(df: DataFrame) -> DataFrame:
-    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-
 
-def _salt(*columns: str) -> Column:
-    return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int").alias("salt")
-
-
-def _copies(frequent: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(doc, ident): the documents that frequent lines could reject, with the document that each counts as."""
-    # sums over the rows of a document are those of one text times the rows
-    text = sizes.select("doc", "rows", F.col("chars").alias("all_chars"))
-    heavy = frequent.groupBy("doc").agg(F.sum("chars").alias("in_lines")).join(text, "doc")
-    heavy = heavy.filter(F.col("in_lines") > (1 - MIN_LEFT_SHARE) * F.col("all_chars")).select(
-        "doc", "rows", (F.col("all_chars") / F.col("rows")).alias("size"), (F.col("in_lines") / F.col("all_chars")).alias("share")
-    )
-    held = frequent.join(heavy, "doc").select("line", "doc", "size", "share", (F.col("chars") / F.col("rows")).alias("chars"))
-    held = written(held, "heavy")
-    typical = held.groupBy("line").agg(F.max(F.struct("share", "doc", "size", "chars")).alias("t"))
-    pairs = held.select("line", "doc", "size", "chars", _salt("doc")).join(_salted(typical), ["line", "salt"])
-    shared = pairs.groupBy("doc", "size", F.struct("t.share", "t.doc").alias("other"), F.col("t.size").alias("other_size")).agg(
-        F.sum(F.least("chars", "t.chars")).alias("both")
-    )
-    near = shared.filter(100 * F.col("both") >= COPY_PERCENT * (F.col("size") + F.col("other_size") - F.col("both")))
-    return near.groupBy("doc").agg(F.max("other").alias("other")).select("doc", F.col("other.doc").alias("ident"))
+def _words_only(lines: Column) -> Column:
+    return F.filter(F.transform(lines, lambda x: x["line"]), lambda x: x.isNotNull())
 
 
 def _common(table: DataFrame) -> DataFrame:
-    """(line, n_docs): the lines of a line table that are above their host's limit.
+    """(host, common): the lines above the limit of each host that has any, from a table of (host, lines).
 
-    Aggregations with map-side combine and salted joins; no group is gathered, whatever its size.
+    Two aggregations with map-side combine; the first one's key holds the document, so a line that a third of all rows
+    have is spread over all tasks before it is counted.
     """
-    sizes = table.groupBy("host", "doc").agg(F.count("*").alias("rows"), F.sum("chars").alias("chars"))
-    held = (
-        table.select("host", "doc", F.explode("lines").alias("x"))
-        .filter(F.col("x.line").isNotNull())
-        .groupBy(F.col("x.line").alias("line"), "host", "doc")
-        .agg(F.sum("x.chars").alias("chars"))
-    )
-    often = held.groupBy("line").agg(F.count("*").alias("k")).filter(F.col("k") > LINE_MIN_DOCS).select("line")
-    frequent = held.select("*", _salt("doc")).join(_salted(often), ["line", "salt"]).drop("salt")
-    frequent = written(frequent, "frequent")
-    copies = written(_copies(frequent, sizes), "copies")
-    ident = F.coalesce("ident", "doc").alias("ident")
-    hosts = sizes.join(copies, "doc", "left").select("host", ident).distinct().groupBy("host").agg(F.count("*").alias("docs"))
-    per_line = (
-        frequent.join(copies, "doc", "left")
-        .select("line", "host", ident)
-        .distinct()
-        .groupBy("line", "host")
-        .agg(F.count("*").alias("n_docs"))
-        .filter(F.col("n_docs") > LINE_MIN_DOCS)
-    )
-    return per_line.join(hosts, "host").filter(F.col("n_docs") > LINE_MAX_SHARE * F.col("docs")).select("line", "n_docs")
+    documents = table.select("host", F.xxhash64(_words_only(F.col("lines"))).alias("doc"), _words_only(F.col("lines")).alias("lines"))
+    hosts = documents.select("host", "doc").distinct().groupBy("host").agg(F.count("*").alias("docs"))
+    held = documents.select("host", "doc", F.explode(F.array_distinct("lines")).alias("line")).distinct()
+    counts = held.groupBy("host", "line").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > LINE_MIN_DOCS)
+    above = counts.join(hosts, "host").filter(F.col("n_docs") > LINE_MAX_SHARE * F.col("docs"))
+    return written(above.groupBy("host").agg(F.collect_set("line").alias("common")), "common-lines")
 
 
-def _removed_lines(base: DataFrame) -> DataFrame:
-    """(id_key, text_key, pos, chars): the lines of each row that are above the limit, each once."""
-    table = _line_table(base)
-    lines = table.select("id_key", "text_key", _salt("id_key", "text_key"), F.posexplode("lines").alias("pos", "x"))
-    lines = lines.filter(F.col("x.line").isNotNull()).select("id_key", "text_key", "salt", "pos", "x.line", "x.chars")
-    found = lines.join(_salted(_common(table).select("line")), ["line", "salt"], "left_semi")
-    return found.select("id_key", "text_key", "pos", "chars").distinct()
+def _gone(lines: Column) -> Column:
+    """Which lines of a row are above its host's limit."""
+    hit = F.coalesce(F.array_intersect(_words_only(lines), F.col("common")), F.array().cast("array<bigint>"))
+    return let(hit, lambda h: F.transform(lines, lambda x: F.coalesce(F.array_contains(h, x["line"]), F.lit(False))))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    # a row is known by its id and its content, so repeated and null ids are safe keys
-    return docs.withColumns(
-        {
-            "id_key": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))),
-            "text_key": F.xxhash64("source", "text"),
-        }
-    )
+def _chars_in(lines: Column, gone: Column) -> Column:
+    per_line = F.zip_with(lines, gone, lambda x, g: F.when(g, x["chars"]).otherwise(F.lit(0).cast("long")))
+    return F.aggregate(per_line, F.lit(0).cast("long"), lambda acc, n: acc + n)
 
 
 def measure(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, the base columns, line_chars_removed, base_failed and kept."""
-    base = _keyed(docs.select("doc_id", "source", "text"))
-    removed = (
-        _removed_lines(base).groupBy("id_key", "text_key").agg(F.sum("chars").cast("long").alias("line_chars_removed"))
-    )
-    stats = base.select("doc_id", "id_key", "text_key", base_struct(F.col("text")).alias("b"))
-    stats = stats.select("doc_id", "id_key", "text_key", "b.*")
-    out = stats.join(removed, ["id_key", "text_key"], "left")
-    out = out.withColumn("line_chars_removed", F.coalesce("line_chars_removed", F.lit(0).cast("long")))
+    base = docs.select("doc_id", "source", F.col("text").cast("string").alias("text"))
+    table = base.select("doc_id", F.xxhash64(*_host()).alias("host"), base_struct(F.col("text")).alias("b"), _lines(F.col("text")).alias("lines"))
+    table = written(table.select("doc_id", "host", "b.*", "lines"), "lines")
+    out = table.join(_common(table.select("host", "lines")), "host", "left")
+    out = out.withColumn("line_chars_removed", let(_gone(F.col("lines")), lambda g: _chars_in(F.col("lines"), g)))
     out = out.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
     left = F.col("word_chars") - F.col("line_chars_removed")
     out = out.withColumn("kept", ~F.col("base_failed") & (left >= MIN_LEFT_SHARE * F.col("word_chars")))
-    return out.drop("id_key", "text_key")
+    return out.drop("host", "lines", "common")
 
 
 def apply_rules(docs: DataFrame) -> DataFrame:
@@ -218,25 +155,22 @@ def apply_rules(docs: DataFrame) -> DataFrame:
     ``n_chars``, where there is one, follows the new text.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # no name of a column can clash with ours
-    base = _keyed(docs.select(row, "doc_id", "source", "text"))
-    removed = (
-        _removed_lines(base.select("id_key", "text_key", "source", "text"))
-        .groupBy("id_key", "text_key")
-        .agg(F.sum("chars").alias("gone_chars"), F.collect_list("pos").alias("gone"))
-    )
+    source = F.col("source") if "source" in docs.columns else F.lit(None).cast("string")
+    base = docs.select(row, source.alias("source"), F.col("text").cast("string").alias("text"))
+    base = base.select("row", "text", F.xxhash64(*_host()).alias("host"))
+    table = written(base.select("host", _lines(F.col("text")).alias("lines")), "lines")
     passing = let(
         base_struct(F.col("text")), lambda b: F.when(~base_failed(b["n_words"], b["n_repeat_words"]), b["word_chars"])
     )
-    # never null, and judged together with the other side: so the filter stays above the join and the text is measured once
-    judged = base.withColumn("chars_now", F.coalesce(passing, F.lit(-1).cast("long")))
-    j = judged.join(removed, ["id_key", "text_key"], "left")
-    left = F.col("chars_now") - F.coalesce("gone_chars", F.lit(0))
-    j = j.filter(left >= MIN_LEFT_SHARE * F.abs("chars_now"))
+    judged = base.select("row", "text", "host", passing.alias("word_chars")).filter("word_chars is not null")
+    j = judged.join(_common(table), "host", "left")
+    cut = let(_lines(F.col("text")), lambda x: let(_gone(x), lambda g: F.struct(_chars_in(x, g).alias("chars"), g.alias("gone"))))
+    j = j.withColumn("cut", F.when(F.col("common").isNotNull(), cut))
+    left = F.col("word_chars") - F.coalesce("cut.chars", F.lit(0))
+    j = j.filter(left >= MIN_LEFT_SHARE * F.col("word_chars"))
     kept_lines = let(
         text_lines(F.col("text")),
-        lambda x: F.array_join(
-            F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("gone")), lambda i: F.get(x, i)), "\n"
-        ),
+        lambda x: F.array_join(F.filter(x, lambda _, i: ~F.get(F.col("cut.gone"), i)), "\n"),
     )
-    j = j.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept_lines))
+    j = j.withColumn("text", F.when(F.coalesce("cut.chars", F.lit(0)) > 0, kept_lines).otherwise(F.col("text")))
     return j.select(*with_text(docs))
