@@ -29,33 +29,74 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 _VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+#: A second, independent modulus (2**31 - 1): no string has equal hashes by the structure of 2**64 alone.
+_Q, _R = (1 << 31) - 1, 0x2545F491
+_VALUES_Q = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) % np.uint64(_Q)
 _powers: list[np.ndarray] = []
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P**i and P**-i modulo 2**64 for i < n."""
+def _mod(x: np.ndarray) -> np.ndarray:
+    """x modulo 2**31 - 1, for x below 2**62."""
+    q, bits = np.uint64(_Q), np.uint64(31)
+    x = (x & q) + (x >> bits)
+    x = (x & q) + (x >> bits)
+    return np.where(x >= q, x - q, x)
+
+
+def _powers_mod(base: int, size: int) -> np.ndarray:
+    out = np.ones(1, np.uint64)
+    while len(out) < size:
+        out = np.concatenate([out, _mod(out * np.uint64(pow(base, len(out), _Q)))])
+    return out[:size]
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """P**i and P**-i modulo 2**64, R**i and R**-i modulo Q, for i < n."""
     if not _powers or len(_powers[0]) < n:
         size = max(n, CHUNK + 1)
         with np.errstate(over="ignore"):
             up, down = np.full(size, _P, np.uint64), np.full(size, pow(_P, -1, 2**64), np.uint64)
             up[0] = down[0] = 1
-            _powers[:] = [np.multiply.accumulate(up), np.multiply.accumulate(down)]
-    return _powers[0][:n], _powers[1][:n]
+            _powers[:] = [np.multiply.accumulate(up), np.multiply.accumulate(down), _powers_mod(_R, size), _powers_mod(pow(_R, -1, _Q), size)]
+    return [x[:n] for x in _powers]
+
 
+class Sums:
+    """Prefix sums of ``data``, by both moduli; the second one is made when it is first asked for."""
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
+    def __init__(self, data: np.ndarray):
+        self.data = data
+        self.first = np.zeros(len(data) + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            np.cumsum(_VALUES[data] * powers(len(data) + 1)[0][:-1], out=self.first[1:])
+        self._second: np.ndarray | None = None
+
+    @property
+    def second(self) -> np.ndarray:
+        if self._second is None:
+            self._second = np.zeros(len(self.data) + 1, np.uint64)
+            np.cumsum(_mod(_VALUES_Q[self.data] * powers(len(self.data) + 1)[2][:-1]), out=self._second[1:])
+        return self._second
+
+
+def prefix_sums(data: np.ndarray) -> Sums:
     """Sums from which ``span_hash`` gets the hash of any span of ``data``."""
-    out = np.zeros(len(data) + 1, np.uint64)
+    return Sums(data)
+
+
+def span_order(sums: Sums, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit numbers of data[start:end], a function of the span's bytes; different spans may share one by design of text."""
+    down = powers(len(sums.first))[1]
     with np.errstate(over="ignore"):
-        np.cumsum(_VALUES[data] * powers(len(data) + 1)[0][:-1], out=out[1:])
-    return out
+        return mixed((sums.first[end] - sums.first[start]) * down[start] + (end - start).astype(np.uint64))
 
 
-def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end], a function of the span's bytes alone."""
-    down = powers(len(sums))[1]
+def span_hash(sums: Sums, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:end], a function of the span's bytes alone, by two independent moduli."""
+    down = powers(len(sums.first))[3]
+    second = _mod(_mod(sums.second[end] - sums.second[start]) * down[start])
     with np.errstate(over="ignore"):
-        return mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+        return mixed(span_order(sums, start, end) + (second + np.uint64(1)) * np.uint64(_P))
 
 
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

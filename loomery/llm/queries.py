@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from loomery.llm import decontaminate, html_text, line_dedup, ngram_join, packing, quality_model, quality_rules, substring_dedup, token_counts, token_files
 
-TOKENIZERS = "/opt/tokenizers"
-
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_file(name: str, folder: str = TOKENIZERS) -> str:
-    return f"{folder}/{name}"
+def tokenizer_file(name: str) -> str:
+    """Where the installed package of public vocabularies has a file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,7 +63,7 @@ def fragments(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
         return nothing
     sums = bn.prefix_sums(data)
     i = np.arange(n - ANCHOR + 1)
-    least = bn.span_hash(sums, i, i + ANCHOR)
+    least = bn.span_order(sums, i, i + ANCHOR)
     width, step = LENGTH - ANCHOR + 1, 1
     while 2 * step <= width:
         least = np.minimum(least[:-step], least[step:])

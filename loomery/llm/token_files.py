@@ -8,8 +8,9 @@ A data set is a folder of shards, numbered in ascending doc_id order. Shard k is
   (with the end as one more value) and doc_ids.
 
 Ids come from the tokenizers library. Byte-level BPE never merges over pre-token borders, so texts are cut into
-pre-tokens in bulk (numpy over code points), distinct pre-tokens go through the library once per worker and are kept,
-and texts are gathered from those. Texts with characters whose Unicode class is not settled, or with the text of a
+pre-tokens in bulk (numpy over code points), distinct pre-tokens go through the library once per worker and are kept by
+their text, and texts are gathered from those. A hash finds the distinct ones of a chunk; every pre-token is compared in
+full with the one that stands for its hash, and a text for which they differ goes through the library whole. Texts with characters whose Unicode class is not settled, or with the text of a
 special token, go through the library whole.
 
 Rows are range-partitioned and sorted by doc_id, so each task writes one shard as a stream, under a temporary name that
@@ -93,7 +94,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[str, int] = {}
         self.flat = np.zeros(1 << 20, self.dtype)
         self.used = 0
         self.spans = np.zeros((2, 1 << 16), np.int64)  # start in flat and length of each pre-token
@@ -165,21 +166,32 @@ class Encoder:
             return
         cuts = self._cuts(cp, cls, first[:-1])
         ends = np.append(cuts[1:], len(cp))
+        size = ends - cuts
         with np.errstate(over="ignore"):
             sums = np.zeros(len(cp) + 1, np.uint64)
             np.cumsum(self.mix[cp] * self.power[: len(cp)], out=sums[1:])
-            h = _mixed((sums[ends] - sums[cuts]) * self.inverse[cuts] + (ends - cuts).astype(np.uint64))
-        del sums, cp, cls
-        kinds, where, back = np.unique(h, return_index=True, return_inverse=True)
+            h = _mixed((sums[ends] - sums[cuts]) * self.inverse[cuts] + size.astype(np.uint64))
+        _, where, back = np.unique(h, return_index=True, return_inverse=True)
+        # equal hashes only propose equal pre-tokens: each is compared with the first of its hash, code point by code point
+        like = where[back]
+        differs = size != size[like]
+        if not differs.any():
+            differs = np.logical_or.reduceat(cp != cp[np.arange(len(cp)) + np.repeat(cuts[like] - cuts, size)], cuts)
+        if differs.any():
+            odd = set((np.searchsorted(first, cuts[differs], "right") - 1).tolist())
+            for k in odd:
+                out[group[k]] = self.whole(texts[group[k]])
+            if rest := [g for k, g in enumerate(group) if k not in odd]:
+                self._chunk(texts, rest, out)
+            return
+        del sums, cp, cls, h
         if len(self.known) > KEEP:
             self.forget()
-        slots = [self.known.get(x, -1) for x in kinds.tolist()]
+        words = [joined[a:b] for a, b in zip(cuts[where].tolist(), ends[where].tolist(), strict=True)]
+        slots = [self.known.get(w, -1) for w in words]
         new = [k for k, s in enumerate(slots) if s < 0]
-        if new:
-            at = where[new]
-            words = [joined[a:b] for a, b in zip(cuts[at].tolist(), ends[at].tolist(), strict=True)]
-            for lo in range(0, len(words), 20_000):
-                self._learn(words[lo : lo + 20_000], kinds, new[lo : lo + 20_000], slots)
+        for lo in range(0, len(new), 20_000):
+            self._learn(words, new[lo : lo + 20_000], slots)
         slot = np.array(slots, np.int64)
         begin, size = self.spans[0, slot][back], self.spans[1, slot][back]
         to = np.zeros(len(size) + 1, np.int64)
@@ -189,8 +201,8 @@ class Encoder:
         for k, g in enumerate(group):
             out[g] = ids[bounds[k] : bounds[k + 1]]
 
-    def _learn(self, words: list[str], kinds: np.ndarray, new: list[int], slots: list[int]) -> None:
-        for k, e in zip(new, self.library.encode_batch_fast(words, add_special_tokens=False), strict=True):
+    def _learn(self, words: list[str], new: list[int], slots: list[int]) -> None:
+        for k, e in zip(new, self.library.encode_batch_fast([words[k] for k in new], add_special_tokens=False), strict=True):
             ids = e.ids
             if self.used + len(ids) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), self.dtype)])
@@ -198,7 +210,7 @@ class Encoder:
             slots[k] = s = len(self.known)
             if s == self.spans.shape[1]:
                 self.spans = np.concatenate([self.spans, np.zeros_like(self.spans)], axis=1)
-            self.known[int(kinds[k])] = s
+            self.known[words[k]] = s
             self.spans[:, s] = self.used, len(ids)
             self.used += len(ids)
 

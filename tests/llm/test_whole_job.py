@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import random
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
-from loomery.llm import decontaminate, ngram_join, quality_rules
+from loomery.llm import bytes_np, decontaminate, ngram_join, quality_rules
 from loomery.llm.html_text import main_text
 
-from tests.llm.conftest import frame
+from tests.llm.conftest import WORD, frame
 
 
 def test_documents_that_share_a_second_line_are_counted_each(spark):
@@ -20,14 +22,72 @@ def test_documents_that_share_a_second_line_are_counted_each(spark):
         assert got[i].line_chars_removed == len("sharethispage") + (sum(len(f"alsocommon{k}") for k in range(20)) if i % 2 else 0)
 
 
-def test_near_copies_are_not_rejected_as_a_whole(spark):
+def _verdicts(rows, least: int, share: float):
+    """{doc_id: (characters in frequent lines, kept)} by the rule, document by document."""
+    norm = lambda x: " ".join(WORD.findall(x.lower()))
+    texts, lines = defaultdict(set), defaultdict(set)
+    for _, t, s in rows:
+        n = tuple(norm(x) for x in (t or "").split("\n") if WORD.search(x))
+        texts[s].add(n)
+        for x in n:
+            lines[s, x].add(n)
+    out = {}
+    for d, t, s in rows:
+        t = t or ""
+        w = WORD.findall(t)
+        gone = sum(len("".join(WORD.findall(x))) for x in t.split("\n") if WORD.search(x) and least < len(lines[s, norm(x)]) > share * len(texts[s]))
+        tri = Counter(zip(w, w[1:], w[2:], strict=False))
+        covered = {i + k for i in range(len(w) - 2) if tri[tuple(w[i : i + 3])] > 1 for k in range(3)}
+        failed = len(w) < 50 or 100 * len(covered) > 50 * len(w)
+        size = sum(map(len, w))
+        out[d] = (gone, not failed and size - gone >= 0.5 * size)
+    return out
+
+
+def test_every_distinct_document_of_a_line_counts(spark):
     rnd = random.Random(7)
     prose = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
-    base = [prose(10) for _ in range(10)]
-    rows = [(0, "\n".join(base), "a")]
-    rows += [(1 + i, "\n".join(prose(10) if k == i % 10 else x for k, x in enumerate(base)), "a") for i in range(150)]
-    got = quality_rules.measure(frame(spark, rows)).collect()
-    assert all(r.kept and r.line_chars_removed == 0 for r in got)
+    shared = [prose(3) for _ in range(40)]
+    rows = [(i, "\n".join([*shared, prose(30 + i)]), "a") for i in range(200)]
+    rows += [(200 + i, prose(90), "a") for i in range(100)]
+    got = {r.doc_id: r for r in quality_rules.measure(frame(spark, rows)).collect()}
+    removed = sum(len(x.replace(" ", "")) for x in shared)
+    assert all(got[i].line_chars_removed == removed for i in range(200))  # all 40 lines
+    assert {d: (r.line_chars_removed, r.kept) for d, r in got.items()} == _verdicts(rows, 50, 0.05)
+    assert len({r.kept for r in got.values()}) == 2  # the short ones are depleted
+
+
+def test_rows_that_repeat_a_text_are_one_document(spark, docs):
+    rnd = random.Random(9)
+    text = "\n".join(" ".join(f"w{rnd.randrange(10**6)}" for _ in range(12)) for _ in range(8))
+    rows = [(i, text if i % 2 else text.upper().replace(" ", "  "), "a") for i in range(300)]
+    rows += [(1000 + k, t, s) for k, (_, t, s) in enumerate(docs)]  # nulls, empty and long texts, null sources
+    got = {r.doc_id: (r.line_chars_removed, r.kept) for r in quality_rules.measure(frame(spark, rows)).collect()}
+    assert got == _verdicts(rows, 50, 0.05)
+    assert all(got[i] == (0, True) for i in range(300))
+    kept = {r.doc_id: r.text for r in quality_rules.apply_rules(frame(spark, rows)).collect()}
+    assert set(kept) == {d for d, v in got.items() if v[1]} and kept[1] == text
+    bare = frame(spark, rows).drop("source")
+    assert quality_rules.apply_rules(bare).columns == bare.columns
+    assert quality_rules.apply_rules(bare.limit(0)).count() == 0
+
+
+def test_texts_with_equal_hashes_keep_their_own_ids():
+    """Such strings collide under any polynomial hash modulo 2**64."""
+    from loomery.llm.queries import tokenizer_file
+    from loomery.llm.token_files import Encoder
+
+    enc = Encoder(tokenizer_file("byte_bpe_50k.json"))
+    x = "a"
+    while len(x) < 2048:
+        x += x.translate({97: "b", 98: "a"})
+    y = x.translate({97: "b", 98: "a"})
+    for texts in ([x, "and", y], [y], [x], [f"{x} {y}", f"{y} {x}"]):
+        for t, ids in zip(texts, enc.encode(texts), strict=True):
+            assert ids.tolist() == enc.library.encode(t, add_special_tokens=False).ids
+    data = np.frombuffer((x + y).encode(), np.uint8)
+    one, two = bytes_np.span_hash(bytes_np.prefix_sums(data), np.array([0, 2048]), np.array([2048, 4096])).tolist()
+    assert one != two
 
 
 def test_edited_copies_are_found_by_their_most_frequent_seeds(spark):
