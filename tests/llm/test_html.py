@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pytest
 from loomery.llm import html_text
 from loomery.llm.html_text import main_text
 
@@ -37,6 +38,63 @@ def test_names_of_blocks():
     assert main_text(page(f"<form><div><p>{PROSE}</p></div></form>")) == PROSE.strip()
 
 
+@pytest.mark.parametrize("name", ["legal-opinion", "review-text", "discussion-paper", "response-body", "side-story", "notice", "comments", "sidebar"])
+def test_a_name_never_cuts_what_density_chose(name):
+    body = f"<p>{PROSE * 6}</p>" * 3
+    assert main_text(page(f"<div class='{name}'>{body}</div><p>One line.</p>")).startswith((PROSE * 18).strip())
+
+
+def test_names_weigh():
+    article, other = f"<p>{PROSE * 4}</p>" * 2, f"<p>{PROSE * 6}</p>" * 4
+    for name in ("comments", "comment-list", "sidebar", "cookie-banner", "ad"):
+        assert main_text(page(f"<div>{article}</div><div class='{name}'>{other}</div>")) == (PROSE * 8).strip()
+        assert main_text(page(f"<div>{article}<div id='{name}'>{other}</div></div>")) == (PROSE * 8).strip()
+
+
+def test_density_decides_without_names_and_elements():
+    links = "".join(f"<li><a href=/{i}>Read more about {i}</a></li>" for i in range(30))
+    html = page(f"<div><ul>{links}</ul></div><div><h2>T</h2><div><p>{PROSE * 3}</p><p>{PROSE}</p></div><div><p>{PROSE * 2}</p><p>End.</p></div></div><div><ul>{links}</ul></div>")
+    assert main_text(html) == f"T {PROSE * 6}End."
+    root = html_text.parse(html)
+    body = next(k for k in root.kids if getattr(k, "tag", "") == "body")
+    whole = html_text.text_of(body)
+    assert "Read more" in whole  # the body as a whole has the lists: density left them out
+
+
+def test_density_is_the_formula():
+    import math
+
+    html = f"<body><div><p>{'x' * 100}</p><p>{'y' * 40}<a>{'z' * 20}</a></p></div><ul><li><a>{'w' * 30}</a></li></ul></body>"
+    blocks = html_text.measure(html_text.parse(html).kids[0])
+    got = [(n.tag, n.c, n.t, n.lc, n.lt, n.density, n.dsum) for n in blocks]
+    ratio = 50 / 190
+
+    def d(c, t, lc, lt):
+        return c / t * math.log(c / max(lc, 1) * t / max(lt, 1) + 1) / math.log(c / max(c - lc, 1) * lc + ratio * c + math.e)
+
+    p1, p2, li, ul = d(100, 1, 0, 0), d(60, 2, 20, 1), d(30, 2, 30, 1), d(30, 3, 30, 1)
+    div, body = d(160, 4, 20, 1), d(190, 8, 50, 2)
+    want = [
+        ("body", 190, 8, 50, 2, body, div + ul), ("div", 160, 4, 20, 1, div, p1 + p2), ("p", 100, 1, 0, 0, p1, p1),
+        ("p", 60, 2, 20, 1, p2, d(40, 1, 0, 0)), ("ul", 30, 3, 30, 1, ul, li), ("li", 30, 2, 30, 1, li, 0.0),
+    ]
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    for g, w in zip(got, want, strict=True):
+        assert g[5:] == pytest.approx(w[5:])
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    def seconds(n):
+        begin = time.process_time()
+        main_text("<div>" * n + PROSE + "<p>" + "<span>" * n + "<li>x" * n + "<a \"" * n)
+        return time.process_time() - begin
+
+    seconds(100)
+    assert seconds(40_000) < 12 * seconds(10_000)
+
+
 def test_odd_pages():
     for x in (None, "", "   ", "<html></html>", "<!-- only -->", "<script>x", "<p", "<body><nav>menu</nav></body>"):
         assert main_text(x) == ""
