@@ -6,6 +6,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from loomery.llm import bytes_np, decontaminate, ngram_join, quality_rules
 from loomery.llm.html_text import main_text
@@ -120,3 +121,51 @@ def test_one_row_stays_of_each_class_with_null_ids(spark):
     assert [r.doc_id for r in kept if r.text == a] == [7] and not any(r.text == a + " more" for r in kept)
     assert sum(b in (r.text or "") for r in kept) == sum(r.text == c for r in kept) == 1
     assert sum(not (r.text or "").strip() for r in kept) == 4 and len(kept) == 7
+
+
+def test_seeds_lose_no_alignment():
+    """All pairs aligned against the operator's own: every 2nd to 8th word replaced, missing or followed by others."""
+    rnd = random.Random(10)
+    vocab = [f"v{k}" for k in range(300)]
+    some = lambda n: [rnd.choice(vocab) for _ in range(n)]
+    items = [some(rnd.choice([5, 8, 15, 30, 60])) for _ in range(16)]
+    copies, texts = [], []
+    for it in items:
+        for k in range(2, 9):
+            copies.append(["new" if i % k == k - 1 else w for i, w in enumerate(it)])
+            copies.append([w for i, w in enumerate(it) if i % k])
+            copies.append([x for i, w in enumerate(it) for x in [w, *["more"] * (rnd.randint(1, 3) if i % k == 0 else 0)]])
+        copies.append(it[: len(it) // 2] + some(len(it) // 2 - 1) + it[len(it) // 2 :])
+    texts = [" ".join(some(20) + c + some(20)) for c in copies] + [None, "", "one"]
+    words = [decontaminate.item_words(" ".join(x)) for x in items]
+    want = {}
+    for r, t in enumerate(texts):
+        x = decontaminate.item_words(t)
+        for i, w in enumerate(words):
+            share = decontaminate.align(w, x)[0] / (2 * len(w))
+            if share >= 0.5:
+                want[r, i] = share
+    seeds = decontaminate.Seeds(list(range(len(items))), words)
+    for frequency in (np.zeros(len(seeds.hashes), np.int64), np.random.default_rng(0).integers(0, 9, len(seeds.hashes))):
+        seeds.select(frequency)
+        got = {}
+        for a, w, first in decontaminate.document_words(pa.array(texts, pa.string())):
+            got |= {(a + m[0], m[1]): m[2] for m in decontaminate.matches(w, first, seeds)}
+        assert got == want and len(want) > 200
+
+
+def test_short_items_are_whole_documents(spark):
+    bench = spark.createDataFrame([(1, "Yes."), (2, "not at all"), (3, "not at all"), (4, " ")], "item_id long, text string")
+    rows = [(1, "yes", "s"), (2, "yes it is", "s"), (3, "Not at ALL!", "s"), (None, "yes", "s"), (5, "", "s"), (6, None, "s")]
+    got = {(r.doc_id, r.item_id, r.score) for r in decontaminate.find(frame(spark, rows), bench).collect()}
+    assert got == {(1, 1, 1.0), (None, 1, 1.0), (3, 2, 1.0), (3, 3, 1.0)}
+    assert {r.doc_id for r in decontaminate.clean(frame(spark, rows), bench).collect()} == {2, 5, 6}
+
+
+def test_blocks_of_the_benchmark_find_the_same(spark, docs, monkeypatch):
+    items = [(k, " ".join(t.split()[:30])) for k, (_, t, _) in enumerate(docs) if t and len(t.split()) > 5]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = frame(spark, docs)
+    once = sorted(map(repr, decontaminate.find(df, bench).collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 4000)
+    assert sorted(map(repr, decontaminate.find(df, bench).collect())) == once and len(once) >= len(items)
