@@ -12,9 +12,13 @@ a pair is verified only if it shares as many prefix tokens as the smaller ``l``
 2. Blocks of documents send their distinct tokens to the buckets of their hash and learn how many documents have each.
    A document with too many tokens of its own cannot link and is settled; the others keep their ordered tokens.
 3. Documents whose shortest prefixes meet in a token form candidate groups (components of star edges, one a token and
-   document). A group of bounded size is joined in one task; a larger one is cut into parts and joined pair of parts by
-   pair of parts, so every pair is looked at and no task holds more than two parts.
-4. Pairs already in one class need no verification, so a large group of near copies costs one success each.
+   document). A task joins whole groups; a group beyond a task's fair share of tokens is dealt over several.
+4. In a task, documents within the link distance of a leader are its cluster, and a prefix token lists clusters, not
+   documents. The distance 1 - similarity is a metric, so a document farther from a leader than the link distance plus
+   the cluster's radius links with none of its members, and otherwise only members far enough from the leader are
+   looked at. A large group of near copies so costs one verification a document, and no link is lost.
+5. Of a group that was dealt, the leaders alone meet, with their radii: near ones link, far ones rule their clusters
+   out, and where the radii leave it open, the members that could link meet in a task of their own.
 
 Defined cases: null and empty texts and texts without words have an empty set and link with nothing; a null doc_id joins
 by its text but never names a class (component_id is null where no other id does); rows of one doc_id, with equal or
@@ -37,11 +41,13 @@ from loomery.llm.workdir import partitions, written
 
 WORDS = 5
 PERCENT = 75
-BLOCK_ROWS = 4096
+#: Bytes of text of a block, and of the texts whose tokens a bucket counts, on average.
+BLOCK_BYTES = 12_000_000
+BUCKET_BYTES = 48_000_000
 #: Cost of a verification against that of an index entry, per token of the document.
 VERIFY_COST = 0.25
-#: Tokens that one task joins; a group beyond is cut into parts of half of it.
-GROUP_TOKENS = 4_000_000
+#: A group is dealt over tasks if it has more tokens than this share of all, within these bounds.
+LEAST_TOKENS, MOST_TOKENS = 16_000, 4_000_000
 #: Stand-ins for null ids take the highest 2**31 numbers.
 STAND_IN_BITS = 31
 SALTS = 16
@@ -52,6 +58,9 @@ SENT = "bucket long, block long, a binary, b binary, c binary"
 SENT_PA = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), *((k, pa.binary()) for k in "abc")])
 INFO = "doc_id long, m string, n long, ell long, base long, reach long, tokens binary"
 INFO_PA = pa.schema([("doc_id", pa.int64()), ("m", pa.string()), *((k, pa.int64()) for k in ("n", "ell", "base", "reach")), ("tokens", pa.binary())])
+LINK, MEMBER, OPEN = range(3)
+FOUND = "kind int, c long, a long, b long, d double, label long"
+FOUND_PA = pa.schema([("kind", pa.int32()), ("c", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("d", pa.float64()), ("label", pa.int64())])
 EDGE = "a long, b long"
 EDGE_PA = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -225,85 +234,233 @@ def _stars(sent: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(doc[once]), pa.array(head[once])], schema=EDGE_PA)
 
 
-def join_group(ids, n, ell, reach, tokens: list[np.ndarray], part=None) -> list[tuple[int, int]]:
-    """Edges that span the classes of one group of documents.
+FAR = 1 - PERCENT / 100
+#: Distances are compared with this margin, towards looking.
+MARGIN = 1e-9
 
-    With ``part`` (0 or 1 by document), only pairs of different parts are looked at.
+
+class _Group:
+    """The documents of one task, numbered; a verification marks one set and counts the marks in another."""
+
+    def __init__(self, n: np.ndarray, tokens: list[np.ndarray]):
+        self.n = n.tolist()
+        ends = np.cumsum([len(t) for t in tokens])
+        every, back = np.unique(np.concatenate(tokens), return_inverse=True)
+        self.tokens = np.split(back, ends[:-1])
+        self.mark = np.zeros(len(every), bool)
+        self.up = list(range(len(n)))
+        self.marked = -1
+
+    def find(self, x: int) -> int:
+        up = self.up
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    def unite(self, x: int, y: int) -> None:
+        self.up[self.find(x)] = self.find(y)
+
+    def look(self, x: int) -> None:
+        """From now on ``distance`` is that to ``x``."""
+        if self.marked >= 0:
+            self.mark[self.tokens[self.marked]] = False
+        self.marked = x
+        self.mark[self.tokens[x]] = True
+
+    def distance(self, y: int) -> tuple[bool, float]:
+        """Whether y links with the document looked at, and its distance."""
+        both = int(np.count_nonzero(self.mark[self.tokens[y]]))
+        union = self.n[self.marked] + self.n[y] - both
+        return 100 * both >= PERCENT * union, 1 - both / union
+
+
+def clusters(ids, n, ell, reach, tokens: list[np.ndarray]) -> tuple[list[tuple[int, int]], list[int], list[float], list[int]]:
+    """Links that span the classes of a group; the leader of each document, its distance from it, and a document of its class.
+
+    Documents are numbers from 0 by place; every pair that can link is decided.
+    """
+    g = _Group(n, tokens)
+    ells, sizes = np.asarray(ell).tolist(), g.n
+    lists: dict[int, list[int]] = {}  # prefix token -> clusters
+    heads: list[int] = []
+    has: list[set[int]] = []
+    least: list[int] = []
+    widest: list[float] = []
+    longest: list[int] = []
+    members: list[list[tuple[float, int]]] = []
+    of, dist, links = [-1] * len(ids), [0.0] * len(ids), []
+    for x in np.lexsort((ids, n)).tolist():
+        prefix = g.tokens[x][: int(reach[x])].tolist()
+        count: dict[int, int] = {}
+        for t in prefix:
+            for c in lists.get(t, ()):
+                count[c] = count.get(c, 0) + 1
+        if count:
+            g.look(x)
+        for c, found in sorted(count.items(), key=lambda e: -e[1]):
+            y = heads[c]
+            if found < min(ells[x], least[c]) or 100 * longest[c] < PERCENT * sizes[x] or g.find(x) == g.find(y):
+                continue
+            near, d = g.distance(y)
+            if near:
+                if of[x] < 0:
+                    of[x], dist[x] = c, d
+            elif d <= FAR + widest[c] + MARGIN:
+                y = next((z for r, z in members[c] if r >= d - FAR - MARGIN and 100 * sizes[z] >= PERCENT * sizes[x] and g.distance(z)[0]), -1)
+            else:
+                y = -1
+            if y >= 0:
+                g.unite(x, y)
+                links.append((x, y))
+        c = of[x]
+        if c < 0:
+            c = of[x] = len(heads)
+            heads.append(x)
+            has.append(set())
+            least.append(ells[x])
+            widest.append(0.0)
+            longest.append(0)
+            members.append([])
+        members[c].append((dist[x], x))
+        least[c], widest[c], longest[c] = min(least[c], ells[x]), max(widest[c], dist[x]), sizes[x]
+        for t in prefix:
+            if t not in has[c]:
+                has[c].add(t)
+                lists.setdefault(t, []).append(c)
+    return links, [heads[c] for c in of], dist, [g.find(x) for x in range(len(ids))]
+
+
+def leaders(ids, n, radius, label, tokens: list[np.ndarray], part=None) -> tuple[list[tuple[int, int]], list[tuple[int, int, float]]]:
+    """(links, pairs whose clusters may link although they do not, with their distance) among leaders.
+
+    With ``part`` (0 or 1), only pairs of different parts are looked at. ``label`` are classes known before.
     """
-    order = np.lexsort((ids, n))
-    ids, n, ell, reach = ids[order], n[order], ell[order], reach[order]
-    tokens = [tokens[k] for k in order]
-    part = None if part is None else part[order]
-    m = len(ids)
-    sizes = np.array([min(int(r), len(t)) for r, t in zip(reach, tokens, strict=True)])
-    token = np.concatenate([t[:k] for t, k in zip(tokens, sizes, strict=True)])
-    doc = np.repeat(np.arange(m), sizes)
-    by = np.lexsort((doc, token))
-    listed, back = np.unique(token, return_inverse=True)
-    counts = np.bincount(back, minlength=len(listed))
-    starts = np.cumsum(counts) - counts
-    lists = doc[by]
-    begin = np.cumsum(sizes) - sizes
-    label = np.arange(m)
-    sets: dict[int, np.ndarray] = {}
-    edges = []
-    for x in range(m):
-        mine = back[begin[x] : begin[x] + sizes[x]]
-        c = counts[mine]
-        spots = np.repeat(starts[mine] - (np.cumsum(c) - c), c) + np.arange(c.sum())
-        found = np.bincount(lists[spots], minlength=m)[:x]
-        ok = (found >= np.minimum(ell[:x], ell[x])) & (found > 0) & (100 * n[:x] >= PERCENT * n[x]) & (label[:x] != label[x])
-        if part is not None:
-            ok &= part[:x] != part[x]
-        near = np.flatnonzero(ok)
-        for y in near[np.argsort(-found[near], kind="stable")].tolist():
-            if label[y] == label[x]:
+    g = _Group(n, tokens)
+    same: dict[int, int] = {}
+    for x, k in enumerate(label):
+        g.unite(x, same.setdefault(k, x))
+    widest = float(max(radius, default=0.0))
+    lists: dict[int, list[int]] = {}
+    links, open_ = [], []
+    for x in np.lexsort((ids, n)).tolist():
+        # a pair matters from this similarity on; sets as similar share a token of such prefixes
+        similar = max(0.0, 1 - FAR - radius[x] - widest - MARGIN)
+        prefix = g.tokens[x][: max(0, len(tokens[x]) - max(1, int(np.ceil(similar * n[x] - MARGIN))) + 1)].tolist()
+        near = {y for t in prefix for y in lists.get(t, ())}
+        if near:
+            g.look(x)
+        for y in sorted(near):
+            if part is not None and part[x] == part[y] or g.find(x) == g.find(y):
                 continue
-            for z in (x, y):
-                if z not in sets:
-                    sets[z] = np.sort(tokens[z])
-            both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-            if 100 * both >= PERCENT * (int(n[x]) + int(n[y]) - both):
-                label[label == label[y]] = label[x]
-                edges.append((int(ids[x]), int(ids[y])))
-    return edges
-
-
-def _join_rows(t: pa.Table, column: str) -> pa.Table:
-    """All groups of a bucket (``column`` tells them apart)."""
-    rows = t.sort_by([(column, "ascending"), ("doc_id", "ascending")]).to_pydict()
-    group = np.array(rows[column])
-    cut = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+            link, d = g.distance(y)
+            if link:
+                g.unite(x, y)
+                links.append((x, y))
+            elif d <= FAR + radius[x] + radius[y] + MARGIN:
+                open_.append((x, y, d))
+        for t in prefix:
+            lists.setdefault(t, []).append(x)
+    return links, [(x, y, d) for x, y, d in open_ if g.find(x) != g.find(y)]
+
+
+def _cut(t: pa.Table, *keys: str) -> Iterator[dict]:
+    """The rows of each group of ``keys`` as columns, ascending by doc_id."""
+    rows = t.sort_by([(k, "ascending") for k in (*keys, "doc_id")])
+    columns = {k: rows.column(k).to_pylist() if k == "tokens" else rows.column(k).to_numpy() for k in rows.column_names}
+    new = np.zeros(len(rows), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= columns[k][1:] != columns[k][:-1]
+    starts = np.flatnonzero(new).tolist()
+    for lo, hi in zip(starts, [*starts[1:], len(rows)], strict=True):
+        found = {k: v[lo:hi] for k, v in columns.items()}
+        found["tokens"] = [np.frombuffer(x, np.uint64) for x in found["tokens"]]
+        yield found
+
+
+def _found(rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) or [()] * len(FOUND_PA)
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, FOUND_PA, strict=True)], schema=FOUND_PA)
+
+
+def _cluster_rows(t: pa.Table) -> pa.Table:
     out = []
-    for lo, hi in zip(cut, [*cut[1:], len(group)], strict=True):
-        ids, n, ell, reach = (np.array(rows[k][lo:hi], np.int64) for k in ("doc_id", "n", "ell", "reach"))
-        part = np.array(rows["part"][lo:hi], np.int64) if "part" in rows and rows["part"][lo] >= 0 else None
-        out += join_group(ids, n, ell, reach, [np.frombuffer(x, np.uint64) for x in rows["tokens"][lo:hi]], part)
+    for g in _cut(t, "c", "p"):
+        ids = g["doc_id"].tolist()
+        links, leader, dist, label = clusters(g["doc_id"], g["n"], g["ell"], g["reach"], g["tokens"])
+        out += [(LINK, None, ids[x], ids[y], None, None) for x, y in links]
+        if g["parts"][0] > 1:
+            c = int(g["c"][0])
+            out += [(MEMBER, c, ids[x], ids[y], d, ids[k]) for x, (y, d, k) in enumerate(zip(leader, dist, label, strict=True))]
+    return _found(out)
+
+
+def _leader_rows(t: pa.Table) -> pa.Table:
+    out = []
+    for g in _cut(t, "c", "i", "j"):
+        ids, part = g["doc_id"].tolist(), g["part"] if g["part"][0] >= 0 else None
+        links, open_ = leaders(g["doc_id"], g["n"], g["radius"].tolist(), g["label"].tolist(), g["tokens"], part)
+        out += [(LINK, None, ids[x], ids[y], None, None) for x, y in links]
+        out += [(OPEN, None, ids[x], ids[y], d, None) for x, y, d in open_]
+    return _found(out)
+
+
+def _open_rows(t: pa.Table) -> pa.Table:
+    out = []
+    for g in _cut(t, "a", "b"):
+        ids = g["doc_id"].tolist()
+        out += [(ids[x], ids[y]) for x, y in clusters(g["doc_id"], g["n"], g["ell"], g["reach"], g["tokens"])[0]]
     return pa.Table.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], schema=EDGE_PA)
 
 
+def _parts(rows: DataFrame, bound: int) -> DataFrame:
+    """(c, parts): the groups of more than ``bound`` tokens and how many parts of half of it they make."""
+    weight = rows.groupBy("c").agg(F.sum(F.octet_length("tokens") / 8).alias("w"))
+    return weight.filter(F.col("w") > bound).select("c", F.ceil(2 * F.col("w") / F.lit(bound)).cast("int").alias("parts"))
+
+
+def _with_part(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    # a row for each group beyond the bound, so the broadcast is at most one for so many tokens
+    many = F.coalesce("parts", F.lit(1))
+    rows = rows.join(F.broadcast(parts), "c", "left").withColumn("parts", many)
+    return rows.withColumn("p", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+
+
 def _linked(info: DataFrame, groups: DataFrame, n: int) -> DataFrame:
     """Edges that span the classes, from the groups (v, c) of documents that may link."""
     members = written(
         info.join(groups.withColumnRenamed("v", "doc_id"), "doc_id").select("c", "doc_id", "n", "ell", "reach", "tokens"), "members"
     )
-    weight = members.groupBy("c").agg(F.sum(F.octet_length("tokens") / 8).cast("long").alias("w"))
-    large = weight.filter(F.col("w") > GROUP_TOKENS)
-    small = members.join(large, "c", "left_anti").withColumn("bucket", F.pmod(F.xxhash64("c"), F.lit(4 * n)))
-    out = small.groupBy("bucket").applyInArrow(lambda t: _join_rows(t, "c"), EDGE)
+    total = members.agg(F.sum(F.octet_length("tokens") / 8)).first()[0] or 0
+    large = written(_parts(members, min(MOST_TOKENS, max(LEAST_TOKENS, int(total / n)))), "large")
+    dealt = _with_part(members, large).withColumn("bucket", F.pmod(F.xxhash64("c", "p"), F.lit(4 * n)))
+    found = written(dealt.groupBy("bucket").applyInArrow(lambda t: _cluster_rows(t), FOUND), "clusters")
+    out = found.filter(F.col("kind") == LINK).select("a", "b")
     if large.isEmpty():
         return out
-    # parts of half the bound; a row goes to each pair of parts that its own part is in
-    parts = F.ceil(2 * F.col("w") / F.lit(GROUP_TOKENS)).cast("int")
-    cut = members.join(large, "c").withColumn("parts", parts)
-    cut = cut.withColumn("p", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    cut = cut.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cut = cut.select(
-        "c", "doc_id", "n", "ell", "reach", "tokens",
+    of = found.filter(F.col("kind") == MEMBER).select("c", F.col("a").alias("doc_id"), F.col("b").alias("leader"), "d", "label")
+    radius = of.groupBy("c", "leader", "label").agg(F.max("d").alias("radius"))
+    heads = members.drop("ell", "reach").join(radius.withColumnRenamed("leader", "doc_id"), ["c", "doc_id"])
+    heads = written(heads, "leaders")
+    # leaders beyond one task's bound meet part by part: a row goes to each pair of parts that its own is in
+    heads = _with_part(heads, written(_parts(heads, MOST_TOKENS), "large"))
+    heads = heads.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    heads = heads.select(
+        "c", "doc_id", "n", "radius", "label", "tokens",
         F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"),
         F.when(F.col("p") == F.col("q"), -1).when(F.col("p") < F.col("q"), 0).otherwise(1).alias("part"),
     )
-    return out.unionByName(cut.groupBy("c", "i", "j").applyInArrow(lambda t: _join_rows(t, "c"), EDGE))
+    met = written(heads.groupBy("c", "i", "j").applyInArrow(lambda t: _leader_rows(t), FOUND), "leader-links")
+    out = out.unionByName(met.filter(F.col("kind") == LINK).select("a", "b"))
+    open_ = met.filter(F.col("kind") == OPEN).select("a", "b", F.col("d").alias("between"))
+    if open_.isEmpty():
+        return out
+    sides = open_.select("*", F.col("a").alias("leader"), F.col("b").alias("other"))
+    sides = sides.unionByName(open_.select("*", F.col("b").alias("leader"), F.col("a").alias("other")))
+    sides = sides.join(radius.select(F.col("leader").alias("other"), "radius"), "other")
+    can = sides.join(of.select("leader", "doc_id", "d"), "leader").filter(F.col("d") >= F.col("between") - F.lit(FAR + MARGIN) - F.col("radius"))
+    can = can.select("a", "b", "doc_id").join(members.drop("c"), "doc_id")
+    return out.unionByName(can.groupBy("a", "b").applyInArrow(lambda t: _open_rows(t), EDGE))
 
 
 def _text() -> Column:
@@ -319,7 +476,8 @@ def _row_id() -> Column:
 def _classes(docs: DataFrame) -> DataFrame:
     """real (the doc_id), doc_id (or its stand-in), m (the text's hash), n_shingles and least, the least id of the class, of every row."""
     spark = docs.sparkSession
-    n = max(partitions(spark), -(-docs.count() // BLOCK_ROWS))
+    size = docs.agg(F.sum(F.octet_length(_text()))).first()[0] or 0
+    n, buckets = (max(partitions(spark), -(-size // x)) for x in (BLOCK_BYTES, BUCKET_BYTES))
     named = docs.select(F.col("doc_id").cast("long").alias("real"), _row_id().alias("doc_id"), _text().alias("text"))
     block = F.pmod(F.xxhash64("doc_id"), F.lit(n))
     dealt = named.select("doc_id", F.md5("text").alias("m"), "text").withColumn("block", block).repartition(n, "block")
@@ -329,7 +487,7 @@ def _classes(docs: DataFrame) -> DataFrame:
         owners.select(F.col("owner").alias("doc_id"))
         .withColumn("block", block)
         .groupBy("block")
-        .agg(F.collect_list("doc_id").alias("ids"))  # about BLOCK_ROWS ids
+        .agg(F.collect_list("doc_id").alias("ids"))  # those of one block
     )
 
     def pack_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,14 +496,14 @@ def _classes(docs: DataFrame) -> DataFrame:
             yield from pa.Table.from_pylist(out, schema=TOLD_PA).to_batches()
 
     def first(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        return send_tokens(key[0].as_py(), left, right, n)
+        return send_tokens(key[0].as_py(), left, right, buckets)
 
     def second(left: pa.Table, right: pa.Table) -> pa.Table:
-        return ordered_sets(left, right, n)
+        return ordered_sets(left, right, buckets)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield from _prefix_rows(b, n).to_batches()
+            yield from _prefix_rows(b, buckets).to_batches()
 
     told = told.mapInArrow(pack_ids, TOLD)
     sent = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(first, SENT)
@@ -353,7 +511,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     info = written(dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(second, INFO), "sets")
     open_ = info.filter("tokens is not null")
     stars = open_.select("doc_id", "base", "tokens").mapInArrow(prefixes, SENT).groupBy("bucket").applyInArrow(lambda t: _stars(t), EDGE)
-    links = _linked(open_, components(stars), n)
+    links = _linked(open_, components(stars), partitions(spark))
     classes = components(written(links, "links"))
     # only repeated texts need their owner looked up; one text may be a third of all rows, so they are salted
     repeated = texts.groupBy("m").agg(F.min("doc_id").alias("first"), F.count("*").alias("k")).filter("k > 1")

@@ -117,9 +117,10 @@ def classes(docs):
     return Counter((d, len(s), least.get(find(i)) if s else d) for i, ((d, _, _), s) in enumerate(zip(docs, sets, strict=True)))
 
 
-@pytest.mark.parametrize("bound", [4_000_000, 500])
-def test_ngram_join(df, docs, bound, monkeypatch):
-    monkeypatch.setattr(ngram_join, "GROUP_TOKENS", bound)
+@pytest.mark.parametrize("bounds", [(16_000, 4_000_000), (300, 300), (300, 4_000_000)])
+def test_ngram_join(df, docs, bounds, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LEAST_TOKENS", bounds[0])
+    monkeypatch.setattr(ngram_join, "MOST_TOKENS", bounds[1])
     assert tally(ngram_join.near_duplicates(df), "doc_id", "n_shingles", "component_id") == classes(docs)
 
 

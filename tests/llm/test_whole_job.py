@@ -169,3 +169,94 @@ def test_blocks_of_the_benchmark_find_the_same(spark, docs, monkeypatch):
     once = sorted(map(repr, decontaminate.find(df, bench).collect()))
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 4000)
     assert sorted(map(repr, decontaminate.find(df, bench).collect())) == once and len(once) >= len(items)
+
+
+def _family(rng, m: int):
+    base = np.arange(100, dtype=np.uint64)
+    tokens = [np.delete(base, rng.integers(0, 100, 3)) for _ in range(m)]
+    return np.arange(m), np.array([len(t) + 3 for t in tokens]), np.ones(m, int), np.full(m, 30), tokens
+
+
+def test_a_large_group_of_near_copies_takes_linear_time():
+    import time
+
+    rng = np.random.default_rng(0)
+
+    def seconds(m):
+        group = _family(rng, m)
+        begin = time.process_time()
+        links, leader, _, label = ngram_join.clusters(*group)
+        assert len(links) == m - 1 and len(set(leader)) == len(set(label)) == 1
+        return time.process_time() - begin
+
+    seconds(500)
+    assert seconds(16_000) < 12 * seconds(4000)
+
+
+def _joined(sets, dealt):
+    """Classes by ``clusters``, in one task or dealt over three with ``leaders`` and open pairs."""
+    df = Counter(t for s in sets for t in s)
+    rows = []
+    for i, s in enumerate(sets):
+        shared = sorted((df[t], t) for t in s if df[t] > 1)
+        if s and len(shared) >= ngram_join.needed(len(s)):
+            ell, _, reach = ngram_join.prefix_choice(len(s), np.array([x[0] for x in shared]))
+            rows.append((i, len(s), ell, reach, np.array([x[1] for x in shared], np.uint64)))
+    up = list(range(len(sets)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    def run(f, some, *more):
+        columns = [np.array([r[k] for r in some]) for k in range(4)]
+        return f(columns[0], columns[1], *(more or columns[2:]), [r[4] for r in some])
+
+    members, heads = defaultdict(list), []
+    for q in range(dealt):
+        some = [r for r in rows if r[0] % dealt == q]
+        if some:
+            links, leader, dist, _ = run(ngram_join.clusters, some)
+            for x, y in links:
+                up[find(some[x][0])] = find(some[y][0])
+            for r, y, d in zip(some, leader, dist, strict=True):
+                members[some[y][0]].append((r, d))
+            heads += [some[y] for y in sorted(set(leader))]
+    if dealt > 1 and heads:
+        radius = [max(d for _, d in members[h[0]]) for h in heads]
+        links, open_ = run(ngram_join.leaders, heads, radius, [find(h[0]) for h in heads])
+        for x, y in links:
+            up[find(heads[x][0])] = find(heads[y][0])
+        for x, y, between in open_:
+            some = [r for a, b in ((x, y), (y, x)) for r, d in members[heads[a][0]] if d >= between - 0.25 - radius[b] - 1e-9]
+            for a, b in run(ngram_join.clusters, some)[0] if some else ():
+                up[find(some[a][0])] = find(some[b][0])
+    return [find(x) for x in range(len(sets))]
+
+
+@pytest.mark.parametrize("dealt", [1, 3])
+def test_clusters_and_leaders_lose_no_link(dealt):
+    for seed in range(60):
+        rnd = random.Random(seed)
+        bases = [rnd.sample(range(300), 60) for _ in range(3)]
+        sets = []
+        for _ in range(50):
+            s = set(rnd.choice(bases)[: rnd.randint(30, 60)])
+            for _ in range(rnd.randrange(10)):
+                s.symmetric_difference_update({rnd.randrange(300)})
+            sets.append(s)
+        up = list(range(len(sets)))
+
+        def find(x, up=up):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if a and b and 100 * len(a & b) >= 75 * len(a | b):
+                    up[find(i)] = find(j)
+        got = _joined(sets, dealt)
+        pairs = {(find(i), got[i]) for i in range(len(sets))}
+        assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
