@@ -23,9 +23,15 @@ _P = 0x9E3779B97F4A7C15
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit mix."""
     with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+        out = x >> np.uint64(30)
+        out ^= x
+        out *= np.uint64(0xBF58476D1CE4E5B9)
+        t = out >> np.uint64(27)
+        out ^= t
+        out *= np.uint64(0x94D049BB133111EB)
+        np.right_shift(out, np.uint64(31), out=t)
+        out ^= t
+        return out
 
 
 _VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
@@ -75,7 +81,12 @@ class Sums:
     def second(self) -> np.ndarray:
         if self._second is None:
             self._second = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum(_mod(_VALUES_Q[self.data] * powers(len(self.data) + 1)[2][:-1]), out=self._second[1:])
+            x = _VALUES_Q[self.data]
+            x *= powers(len(self.data) + 1)[2][:-1]
+            high = x >> np.uint64(31)
+            x &= np.uint64(_Q)
+            x += high  # congruent and below 2**32: sums of 2**32 of them fit
+            np.cumsum(x, out=self._second[1:])
         return self._second
 
 
@@ -91,6 +102,16 @@ def span_order(sums: Sums, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mixed((sums.first[end] - sums.first[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def every_span(sums: Sums, length: int) -> np.ndarray:
+    """``span_order`` of every span of ``length`` bytes."""
+    n = max(0, len(sums.first) - length)
+    with np.errstate(over="ignore"):
+        h = sums.first[length:] - sums.first[:n]
+        h *= powers(len(sums.first))[1][:n]
+        h += np.uint64(length)
+    return mixed(h)
+
+
 def span_hash(sums: Sums, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of data[start:end], a function of the span's bytes alone, by two independent moduli."""
     down = powers(len(sums.first))[3]

@@ -8,16 +8,19 @@ LENGTH-byte string is the least hash among its ANCHOR-byte substrings, a functio
 have equal anchors wherever they occur. Consecutive strings of a document with one anchor form a fragment. Then:
 
 1. per block of documents, the distinct anchors go (as 32-bit keys) to the bucket of their hash, which answers with the
-   anchors that more than one document has;
-2. for those, each block sends its distinct fragments, each once with its smallest doc_id;
-3. a bucket merges equal fragments, builds a run-length index over the fragments whose anchor has several forms,
-   streams its matching statistics and takes the smallest doc_id of every LENGTH-byte string; it answers with the
-   stretches that an earlier document has;
-4. blocks mark the covered bytes in all their documents.
-
-Copies of a whole text never enter: only the smallest doc_id of each distinct text does, and the rest are covered by
-it. A text, anchor or fragment that any number of documents have is sent at most once by a block, so no bucket receives
-more rows for it than there are blocks. Wrongly equal 32-bit keys only make a string a candidate.
+   anchors that more than one document has, and with the hot ones: those with more than HOT_FORMS different fragments;
+2. for those, each block sends its distinct fragments, each once with its smallest doc_id and its places. Strings of a hot
+   anchor are sent one by one under their own hash, so no phrase, however often it stands in ever new context, gathers in
+   one bucket;
+3. a bucket lays equal fragments together and builds run-length indexes over all fragments, some millions of bytes of
+   whole anchors at a time; it streams their matching statistics, takes the smallest doc_id of every LENGTH-byte string,
+   and answers with the places that an earlier document has;
+4. blocks mark those places and cut.
+
+Copies of a whole text enter the index once: only the smallest doc_id of each distinct text sends, and the rest are
+covered by it. A text, anchor or fragment that any number of documents have is sent at most once by a block, so no bucket
+receives more rows for it than there are blocks. Wrongly equal 32-bit keys only make a string a candidate; fragments are
+laid together by a 64-bit hash over two moduli.
 
 Defined cases: null text is empty; texts under LENGTH bytes lose nothing; a null doc_id is neither smaller nor larger
 than any other, so that row is left whole and serves no match; rows with one doc_id never take from one another unless
@@ -40,8 +43,14 @@ from loomery.llm.workdir import partitions
 
 LENGTH = 50
 ANCHOR = 24
-BLOCK_ROWS = 4096
-#: What a block is told: smallest doc_ids of distinct texts, shared anchors, covered stretches.
+#: Bytes of text of a block, and of the texts whose strings a bucket indexes, on average.
+BLOCK_BYTES = 12_000_000
+BUCKET_BYTES = 24_000_000
+#: Bytes that one index takes, in whole anchors.
+INDEX_BYTES = 4_000_000
+#: Different fragments that make an anchor hot; a block reports those of which it has more than FEW.
+HOT_FORMS, FEW = 4096, 4
+#: What a block is told: smallest doc_ids of distinct texts, shared anchors, covered places.
 OWNERS, SHARED, COVERED = range(3)
 NONE = np.iinfo(np.int64).max
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -50,8 +59,8 @@ RESULT_PA = pa.schema(
 )
 TOLD = "block long, kind int, bucket long, a binary, b binary, c binary, d binary"
 TOLD_PA = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), *((k, pa.binary()) for k in "abcd")])
-SENT = "bucket long, block long, a binary, b binary, c binary, d binary, e binary"
-SENT_PA = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), *((k, pa.binary()) for k in "abcde")])
+SENT = "bucket long, block long, a binary, b binary, c binary, d binary, e binary, f binary, g binary, h binary"
+SENT_PA = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), *((k, pa.binary()) for k in "abcdefgh")])
 
 
 def fragments(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -62,33 +71,39 @@ def fragments(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     if n < LENGTH:
         return nothing
     sums = bn.prefix_sums(data)
-    i = np.arange(n - ANCHOR + 1)
-    least = bn.span_order(sums, i, i + ANCHOR)
+    least = bn.every_span(sums, ANCHOR)
     width, step = LENGTH - ANCHOR + 1, 1
     while 2 * step <= width:
         least = np.minimum(least[:-step], least[step:])
         step *= 2
     if step < width:
         least = np.minimum(least[: step - width], least[width - step :])
-    change = np.zeros(n + 1, np.int32)
-    long_rows = np.diff(offs) >= LENGTH
-    change[offs[:-1][long_rows]] += 1
-    np.add.at(change, offs[1:][long_rows] - LENGTH + 1, -1)
-    valid = np.cumsum(change)[: len(least)] > 0
-    same = np.zeros(len(least), bool)
-    same[1:] = valid[1:] & valid[:-1] & (least[1:] == least[:-1])
-    start = np.flatnonzero(valid & ~same)
-    goes_on = np.append(same[1:], False)
-    end = np.flatnonzero(valid & ~goes_on) + LENGTH
+    valid = strings_start(offs)[: len(least)]
+    goes_on = least[1:] == least[:-1]
+    goes_on &= valid[1:]
+    goes_on &= valid[:-1]
+    start = valid.copy()
+    start[1:] &= ~goes_on
+    valid[:-1] &= ~goes_on
+    start, end = np.flatnonzero(start), np.flatnonzero(valid) + LENGTH
     row = np.searchsorted(offs, start, "right") - 1
     return least[start], bn.span_hash(sums, start, end), row, start, end - start
 
 
-class Block:
-    """The documents of one block, ascending by doc_id, and the fragments of those that own their text."""
+def strings_start(offs: np.ndarray) -> np.ndarray:
+    """Of each byte of the rows: whether a LENGTH-byte string of its row starts there."""
+    size = np.diff(offs)
+    parts = np.empty((len(size), 2), np.int64)
+    parts[:, 0] = np.maximum(size - LENGTH + 1, 0)
+    parts[:, 1] = size - parts[:, 0]
+    return np.repeat(np.tile([True, False], len(size)), parts.ravel())
 
-    def __init__(self, docs: pa.Table, told: pa.Table, buckets: int):
-        docs = docs.sort_by("doc_id").combine_chunks()
+
+class Texts:
+    """The documents of one block, ascending by doc_id, and which of them own their text."""
+
+    def __init__(self, docs: pa.Table, told: pa.Table):
+        docs = docs.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()  # the same in every pass
         self.ids = docs.column("doc_id").to_numpy()
         text = docs.column("text")
         text = text.chunk(0) if text.num_chunks else pa.array([], pa.string())
@@ -98,48 +113,83 @@ class Block:
             self.told[r["kind"]].append(r)
         owners = [np.frombuffer(r["a"], np.int64) for r in self.told[OWNERS]]
         self.owns = np.isin(self.ids, np.concatenate(owners)) if owners else np.zeros(len(self.ids), bool)
-        parts, row, size = [], 0, np.diff(self.offs)
-        while row < len(self.ids):  # owned rows, some millions of bytes at a time
+
+
+class Block(Texts):
+    """The documents of one block with the fragments of those that own their text."""
+
+    def __init__(self, docs: pa.Table, told: pa.Table, buckets: int):
+        super().__init__(docs, told)
+        self.buckets = buckets
+        parts, row = [], 0
+        while row < len(self.ids):  # some millions of bytes at a time
             stop = max(row + 1, int(np.searchsorted(self.offs, self.offs[row] + bn.CHUNK, "right")) - 1)
             piece = self.data[self.offs[row] : self.offs[stop]]
-            cut = self.offs[row : stop + 1] - self.offs[row]
-            anchor, content, r, start, length = fragments(piece, cut)
+            anchor, content, r, start, length = fragments(piece, self.offs[row : stop + 1] - self.offs[row])
             keep = self.owns[r + row]
             parts.append((anchor[keep], content[keep], r[keep] + row, start[keep] + self.offs[row], length[keep]))
             row = stop
         columns = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else fragments(np.zeros(0, np.uint8), np.zeros(1, np.int64))
         anchor, self.content, self.row, self.start, self.length = columns
-        with np.errstate(over="ignore"):
-            self.key = ((anchor >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32)) | (anchor & np.uint64(0xFFFFFFFF))
-        self.size = size
-
-    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct keys, ascending, and whether several documents of this block have them."""
-        order = np.argsort(self.key, kind="stable")
-        key, row = self.key[order], self.row[order]
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-        last = np.append(first[1:], len(key)) - 1 if len(first) else first
-        return key[first], self.ids[row[first]] != self.ids[row[last]]
+        self.key = self._keys(anchor)
 
-    def shared_anchors(self) -> np.ndarray:
-        key, _ = self.anchors()
-        shared = np.zeros(len(key), bool)
+    def _keys(self, h: np.ndarray) -> np.ndarray:
+        """Bucket and 32-bit key of a hash."""
+        return ((h >> np.uint64(32)) % np.uint64(self.buckets) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys, ascending, whether several documents of this block have them, and how many forms they have."""
+        order = np.lexsort((self.content, self.key))
+        key, row, content = self.key[order], self.row[order], self.content[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        if not len(first):
+            return key, np.zeros(0, bool), first
+        form = np.append(True, (key[1:] != key[:-1]) | (content[1:] != content[:-1]))
+        id_of = self.ids[row]
+        return key[first], np.minimum.reduceat(id_of, first) != np.maximum.reduceat(id_of, first), np.add.reduceat(form, first)
+
+    def _flagged(self, key: np.ndarray, name: str) -> np.ndarray:
+        """The keys, out of the block's ascending ones, whose bits in the column ``name`` are set."""
+        on = np.zeros(len(key), bool)
         for r in self.told[SHARED]:
-            lo, hi = np.searchsorted(key, [np.uint64(r["bucket"] << 32), np.uint64((r["bucket"] + 1) << 32)])
-            shared[lo:hi] = np.unpackbits(np.frombuffer(r["a"], np.uint8), count=hi - lo)
-        return key[shared]
-
-    def candidates(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Fragments of shared anchors: their order by (key, content, row), first of each form, form of each."""
-        shared = self.shared_anchors()
-        k = np.searchsorted(shared, self.key)
-        ok = k < len(shared)
-        ok[ok] = shared[k[ok]] == self.key[ok]
-        at = np.flatnonzero(ok)
+            if r[name] is not None:
+                lo, hi = np.searchsorted(key, [np.uint64(r["bucket"] << 32), np.uint64((r["bucket"] + 1) << 32)])
+                on[lo:hi] = np.unpackbits(np.frombuffer(r[name], np.uint8), count=hi - lo)
+        return key[on]
+
+    def candidates(self) -> tuple[np.ndarray, np.ndarray]:
+        """Fragments of shared anchors: their order by (key, content, row) and the first of each form.
+
+        Strings of hot anchors become fragments of their own.
+        """
+        key = np.unique(self.key)
+        at = np.flatnonzero(np.isin(self.key, self._flagged(key, "a")))
+        hot = np.isin(self.key[at], self._flagged(key, "b"))
+        if hot.any():
+            split, at = at[hot], at[~hot]
+            n = self.length[split] - LENGTH + 1
+            start = np.repeat(self.start[split] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            h = _string_hashes(self.data, start)
+            columns = ((self._keys(h), "key"), (bn.mixed(h), "content"), (np.repeat(self.row[split], n), "row"), (start, "start"))
+            more = np.arange(len(self.key), len(self.key) + len(start))
+            for values, name in (*columns, (np.full(len(start), LENGTH), "length")):
+                setattr(self, name, np.concatenate([getattr(self, name), values]))
+            at = np.concatenate([at, more])
         at = at[np.lexsort((self.row[at], self.content[at], self.key[at]))]
         new = np.ones(len(at), bool)
         new[1:] = (self.key[at][1:] != self.key[at][:-1]) | (self.content[at][1:] != self.content[at][:-1])
-        return at, np.flatnonzero(new), np.cumsum(new) - 1
+        return at, np.flatnonzero(new)
+
+
+def _string_hashes(data: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Hashes of the LENGTH-byte strings at ``start``, some at a time."""
+    out = [np.zeros(0, np.uint64)]
+    for k in range(0, len(start), 50_000):
+        s = start[k : k + 50_000]
+        text = data[s[:, None] + np.arange(LENGTH)].ravel()
+        lo = np.arange(len(s)) * LENGTH
+        out.append(bn.span_hash(bn.prefix_sums(text), lo, lo + LENGTH))
+    return np.concatenate(out)
 
 
 def _by_bucket(key: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -154,59 +204,104 @@ def _rows(rows: list[dict], schema: pa.Schema) -> pa.Table:
 
 
 def send_anchors(block: int, docs: pa.Table, told: pa.Table, buckets: int) -> pa.Table:
-    key, several = Block(docs, told, buckets).anchors()
+    key, several, forms = Block(docs, told, buckets).anchors()
     low = (key & np.uint64(0xFFFFFFFF)).astype("<u4")
-    return _rows(
-        [
-            {"bucket": b, "block": block, "a": low[lo:hi].tobytes(), "b": np.packbits(several[lo:hi]).tobytes()}
-            for b, lo, hi in _by_bucket(key)
-        ],
-        SENT_PA,
-    )
+    out = []
+    for b, lo, hi in _by_bucket(key):
+        many = forms[lo:hi] > FEW
+        row = {"bucket": b, "block": block, "a": low[lo:hi].tobytes(), "b": np.packbits(several[lo:hi]).tobytes()}
+        if many.any():
+            row |= {"c": np.packbits(many).tobytes(), "d": forms[lo:hi][many].astype("<u4").tobytes()}
+        out.append(row)
+    return _rows(out, SENT_PA)
 
 
 def answer_anchors(sent: pa.Table) -> pa.Table:
     rows = sent.to_pylist()
     keys = [np.frombuffer(r["a"], "<u4") for r in rows]
-    several = [np.unpackbits(np.frombuffer(r["b"], np.uint8), count=len(k)).astype(bool) for r, k in zip(rows, keys, strict=True)]
+    several, forms = [], []
+    for r, k in zip(rows, keys, strict=True):
+        several.append(np.unpackbits(np.frombuffer(r["b"], np.uint8), count=len(k)).astype(bool))
+        f = np.ones(len(k), np.int64)
+        if r["c"] is not None:
+            f[np.unpackbits(np.frombuffer(r["c"], np.uint8), count=len(k)).astype(bool)] = np.frombuffer(r["d"], "<u4")
+        forms.append(f)
     every, back, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
     shared = count > 1
     shared[back[np.concatenate(several)]] = True
+    hot = np.bincount(back, np.concatenate(forms), minlength=len(every)) > HOT_FORMS
     out, at = [], 0
     for r, k in zip(rows, keys, strict=True):
-        bits = shared[back[at : at + len(k)]]
+        mine = back[at : at + len(k)]
         at += len(k)
-        if bits.any():
-            out.append({"block": r["block"], "kind": SHARED, "bucket": r["bucket"], "a": np.packbits(bits).tobytes()})
+        if shared[mine].any():
+            told = {"block": r["block"], "kind": SHARED, "bucket": r["bucket"], "a": np.packbits(shared[mine]).tobytes()}
+            if (hot & shared)[mine].any():
+                told["b"] = np.packbits((hot & shared)[mine]).tobytes()
+            out.append(told)
     return _rows(out, TOLD_PA)
 
 
+def _spots(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[i], start[i] + 1, ... of size[i] places, for every i."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
 def send_fragments(block: int, docs: pa.Table, told: pa.Table, buckets: int) -> pa.Table:
     b = Block(docs, told, buckets)
-    at, first, _ = b.candidates()
+    at, first = b.candidates()
     forms = at[first]
+    count = np.diff(np.append(first, len(at)))
+    owner = b.ids[b.row[forms]]
+    of_first = np.add.reduceat(b.ids[b.row[at]] == np.repeat(owner, count), first) if len(first) else first
     out = []
     for bucket, lo, hi in _by_bucket(b.key[forms]):
         f = forms[lo:hi]
-        size = b.length[f]
-        to = np.cumsum(size) - size
-        spots = np.repeat(b.start[f] - to, size) + np.arange(size.sum())
+        places = at[first[lo] : first[lo] + int(count[lo:hi].sum())]
         out.append(
             {
                 "bucket": bucket,
                 "block": block,
                 "a": (b.key[f] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(),
                 "b": b.content[f].tobytes(),
-                "c": size.astype("<u4").tobytes(),
-                "d": b.ids[b.row[f]].tobytes(),
-                "e": b.data[spots].tobytes(),
+                "c": b.length[f].astype("<u4").tobytes(),
+                "d": owner[lo:hi].tobytes(),
+                "e": b.data[_spots(b.start[f], b.length[f])].tobytes(),
+                "f": b.start[places].astype("<u8").tobytes(),
+                "g": count[lo:hi].astype("<u4").tobytes(),
+                "h": of_first[lo:hi].astype("<u4").tobytes(),
             }
         )
     return _rows(out, SENT_PA)
 
 
+def _least(data: np.ndarray, begin: np.ndarray, size: np.ndarray, owner: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The smallest doc_id that has each string of the forms, which are laid end to end by ``group`` (the anchor)."""
+    windows = size - LENGTH + 1
+    least = np.empty(int(windows.sum()), np.int64)
+    lo = done = 0
+    total = np.cumsum(size)
+    while lo < len(size):
+        # whole anchors up to INDEX_BYTES
+        hi = int(np.searchsorted(total, (total[lo - 1] if lo else 0) + INDEX_BYTES, "right"))
+        hi = max(hi, lo + 1)
+        if hi < len(size):
+            start = int(np.searchsorted(group, group[hi]))
+            hi = start if start > lo else int(np.searchsorted(group, group[hi], "right"))
+        f = slice(lo, hi)
+        own = np.full(int(size[f].sum()), NONE)
+        ends = np.cumsum(size[f])
+        starts_string = strings_start(np.append(0, ends))
+        own[starts_string] = np.repeat(owner[f], windows[f])
+        found = RunIndex(data[_spots(begin[f], size[f])], ends).least_owner(own, LENGTH)[starts_string]
+        least[done : done + len(found)] = found
+        done += len(found)
+        lo = hi
+    return least
+
+
 def answer_fragments(sent: pa.Table) -> pa.Table:
-    """Per block: the strings of its fragments that a smaller doc_id than the block's own has."""
+    """Per block: the places of its strings that a smaller doc_id than the document's own has."""
     rows = sent.to_pylist()
     key, content, size, owner = (
         np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in (("a", "<u4"), ("b", np.uint64), ("c", "<u4"), ("d", np.int64))
@@ -220,77 +315,47 @@ def answer_fragments(sent: pa.Table) -> pa.Table:
     form = np.empty(len(order), np.int64)
     form[order] = np.cumsum(new) - 1
     lead = order[new]  # of each form, the one with the smallest doc_id
-    group = np.cumsum(new_key)[new] - 1
     windows = size[lead] - LENGTH + 1
     to = np.cumsum(windows) - windows
-    least = np.repeat(owner[lead], windows)  # of each string of each form
-    several = np.bincount(group)[group] > 1
-    if several.any():
-        f = np.flatnonzero(several)
-        f = f[np.argsort(owner[lead[f]], kind="stable")]
-        n = size[lead[f]]
-        ends = np.cumsum(n)
-        spots = np.repeat(begin[lead[f]] - (ends - n), n) + np.arange(ends[-1])
-        inside = np.arange(ends[-1]) - np.repeat(ends - n, n)
-        starts_string = inside < np.repeat(n - LENGTH + 1, n)
-        own = np.where(starts_string, np.repeat(owner[lead[f]], n), NONE)
-        found = RunIndex(data[spots], ends).least_owner(own, LENGTH)[starts_string]
-        w = windows[f]
-        least[np.repeat(to[f] - (np.cumsum(w) - w), w) + np.arange(w.sum())] = found
+    least = _least(data, begin[lead], size[lead], owner[lead], np.cumsum(new_key)[new])
     out, at = [], 0
     for r in rows:
         m = len(r["a"]) // 4
-        mine = form[at : at + m]
-        own = owner[at : at + m]
+        mine, own = form[at : at + m], owner[at : at + m]
         at += m
         w = windows[mine]
         first = np.cumsum(w) - w
-        value = least[np.repeat(to[mine] - first, w) + np.arange(w.sum())]
-        earlier = value < np.repeat(own, w)
-        if not earlier.any():
-            continue
+        earlier = least[_spots(to[mine], w)] < np.repeat(own, w)
         piece = np.repeat(np.arange(m), w)
-        start = earlier.copy()
-        start[1:] &= ~(earlier[:-1] & (piece[1:] == piece[:-1]))
-        end = earlier.copy()
-        end[:-1] &= ~(earlier[1:] & (piece[1:] == piece[:-1]))
-        s, e = np.flatnonzero(start), np.flatnonzero(end)
-        out.append(
-            {
-                "block": r["block"],
-                "kind": COVERED,
-                "bucket": r["bucket"],
-                "a": piece[s].astype("<u4").tobytes(),
-                "b": (s - first[piece[s]]).astype("<u4").tobytes(),
-                "c": (e - first[piece[e]]).astype("<u4").tobytes(),
-            }
-        )
+        joins = earlier[1:] & earlier[:-1] & (piece[1:] == piece[:-1])
+        s = np.flatnonzero(earlier & ~np.append(False, joins))
+        e = np.flatnonzero(earlier & ~np.append(joins, False))
+        spots, count, of_first = (np.frombuffer(r[c], t).astype(np.int64) for c, t in (("f", "<u8"), ("g", "<u4"), ("h", "<u4")))
+        base = np.cumsum(count) - count
+        n = count[piece[s]]  # each stretch at each place of its form
+        start = spots[_spots(base[piece[s]], n)] + np.repeat(s - first[piece[s]], n)
+        length = np.repeat(e - s + LENGTH, n)
+        later = count - of_first  # the form stands in an earlier document of this block
+        start = np.concatenate([start, spots[_spots(base + of_first, later)]])
+        length = np.concatenate([length, np.repeat(w + LENGTH - 1, later)])
+        if len(start):
+            told = {"a": start.astype("<u8").tobytes(), "b": length.astype("<u4").tobytes()}
+            out.append({"block": r["block"], "kind": COVERED, "bucket": r["bucket"], **told})
     return _rows(out, TOLD_PA)
 
 
-def covered(b: Block) -> np.ndarray:
+def covered(b: Texts) -> np.ndarray:
     """Which bytes of the block's owned texts are removed."""
     change = np.zeros(len(b.data) + 1, np.int32)
-    at, first, form = b.candidates()
-    forms = at[first]
-    own = b.ids[b.row[forms]]
-    occurs = at[b.ids[b.row[at]] > own[form]] if len(at) else at  # the form stands in an earlier document of this block
-    np.add.at(change, b.start[occurs], 1)
-    np.add.at(change, b.start[occurs] + b.length[occurs], -1)
-    base = {bucket: lo for bucket, lo, _ in _by_bucket(b.key[forms])}
-    sizes = np.diff(np.append(first, len(at)))
     for r in b.told[COVERED]:
-        piece, lo, hi = (np.frombuffer(r[c], "<u4").astype(np.int64) for c in "abc")
-        f = piece + base[r["bucket"]]
-        n = sizes[f]
-        spot = at[np.repeat(first[f] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        np.add.at(change, b.start[spot] + np.repeat(lo, n), 1)
-        np.add.at(change, b.start[spot] + np.repeat(hi, n) + LENGTH, -1)
+        start, length = np.frombuffer(r["a"], "<u8").astype(np.int64), np.frombuffer(r["b"], "<u4").astype(np.int64)
+        np.add.at(change, start, 1)
+        np.add.at(change, start + length, -1)
     return np.cumsum(change[:-1]) > 0
 
 
-def cut(docs: pa.Table, told: pa.Table, buckets: int) -> pa.Table:
-    b = Block(docs, told, buckets)
+def cut(docs: pa.Table, told: pa.Table) -> pa.Table:
+    b = Texts(docs, told)
     gone = covered(b)
     out = []
     for k, doc in enumerate(b.ids.tolist()):
@@ -309,8 +374,9 @@ def cut(docs: pa.Table, told: pa.Table, buckets: int) -> pa.Table:
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     spark = docs.sparkSession
-    n = max(partitions(spark), -(-docs.count() // BLOCK_ROWS))
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    size = docs.agg(F.sum(F.octet_length(t))).first()[0] or 0
+    n, buckets = (max(partitions(spark), -(-size // x)) for x in (BLOCK_BYTES, BUCKET_BYTES))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), t.alias("text"))
     named = rows.filter("doc_id is not null").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n)))
     dealt = named.repartition(n, "block")
@@ -319,7 +385,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
         .groupBy("m")
         .agg(F.min("doc_id").alias("doc_id"))
         .groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("block"))
-        .agg(F.collect_list("doc_id").alias("ids"))  # about BLOCK_ROWS ids
+        .agg(F.collect_list("doc_id").alias("ids"))  # those of one block
     )
 
     def pack_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,13 +396,13 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
             yield from pa.Table.from_pylist(out, schema=TOLD_PA).to_batches()
 
     def first(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        return send_anchors(key[0].as_py(), left, right, n)
+        return send_anchors(key[0].as_py(), left, right, buckets)
 
     def second(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        return send_fragments(key[0].as_py(), left, right, n)
+        return send_fragments(key[0].as_py(), left, right, buckets)
 
     def last(left: pa.Table, right: pa.Table) -> pa.Table:
-        return cut(left, right, n)
+        return cut(left, right)
 
     told = owners.mapInArrow(pack_ids, TOLD)
 
@@ -344,8 +410,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
         return dealt.groupBy("block").cogroup(what.groupBy("block")).applyInArrow(fn, schema)
 
     shared = with_told(first, told, SENT).groupBy("bucket").applyInArrow(lambda x: answer_anchors(x), TOLD)
-    told = told.unionByName(shared)
-    stretches = with_told(second, told, SENT).groupBy("bucket").applyInArrow(lambda x: answer_fragments(x), TOLD)
+    stretches = with_told(second, told.unionByName(shared), SENT).groupBy("bucket").applyInArrow(lambda x: answer_fragments(x), TOLD)
     told = told.unionByName(stretches)
     out = with_told(last, told, RESULT)
     # a null id has no order: such a row stays whole

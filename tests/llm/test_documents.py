@@ -138,7 +138,8 @@ def test_prefixes_ask_for_more_matches_when_lists_are_long():
     assert base == 26 and reach == base + low - 1
 
 
-def test_substring_dedup(df, docs, nothing):
+def cut_strings(docs):
+    """The contract, string by string."""
     first = {}
     data = [(d, (t or "").encode()) for d, t, _ in docs]
     for d, t in data:
@@ -154,27 +155,69 @@ def test_substring_dedup(df, docs, nothing):
                     gone[i : i + 50] = b"\1" * 50
         spans = sum(1 for i in range(len(t)) if gone[i] and not (i and gone[i - 1]))
         want[(d, len(t), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(t, gone, strict=True) if not g)).hexdigest())] += 1
+    return want
+
+
+@pytest.mark.parametrize("hot", [4096, 1])
+def test_substring_dedup(df, docs, nothing, hot, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOT_FORMS", hot)
+    monkeypatch.setattr(substring_dedup, "FEW", min(hot, 4))
+    monkeypatch.setattr(substring_dedup, "INDEX_BYTES", 20_000)
     got = substring_dedup.dedup_substrings(df)
-    assert tally(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+    assert tally(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == cut_strings(docs)
     assert substring_dedup.dedup_substrings(nothing).count() == 0
 
 
-def test_run_index_statistics():
-    rnd = random.Random(1)
-    parts = [bytes(rnd.choices(b"ab", k=rnd.randint(1, 40))) for _ in range(12)]
-    parts += [parts[0] + b"c" + parts[1], parts[0]]
-    ends = np.cumsum([len(p) for p in parts])
-    index = run_index.RunIndex(np.frombuffer(b"".join(parts), np.uint8), ends)
-    text = index.text.tolist()
-    rows = sorted(range(len(text)), key=lambda i: text[i:])
-    assert index.rows.tolist() == rows
-    stats = index.matching_statistics()
-    for a, b in zip(rows, rows[1:], strict=False):
-        k = 0
-        while a + k < len(text) and b + k < len(text) and text[a + k] == text[b + k]:
-            k += 1
-        assert stats[b] == k
-    assert len(index.run_rows) < len(text)
+def test_a_phrase_in_ever_new_context_gathers_nowhere(spark, monkeypatch):
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choices("abcdefgh", k=6))
+    phrase = "this very common phrase of forty bytes.."
+    rows = [(i, f"{word()} {word()} {word()} {phrase} {word()} {word()} {word()}", "s") for i in range(600)]
+    rows += [(1000 + i, rows[i * 7][1][5:] + word(), "s") for i in range(40)]
+    monkeypatch.setattr(substring_dedup, "HOT_FORMS", 100)
+    got = tally(substring_dedup.dedup_substrings(frame(spark, rows)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == cut_strings(rows)
+    import pyarrow as pa
+
+    table = pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": [r[1] for r in rows]})
+    owners = pa.Table.from_pylist([{"block": 0, "kind": 0, "bucket": 0, "a": np.array([r[0] for r in rows], np.int64).tobytes()}], schema=substring_dedup.TOLD_PA)
+    told = pa.concat_tables([owners, substring_dedup.answer_anchors(substring_dedup.send_anchors(0, table, owners, 1))])
+    sent = substring_dedup.send_fragments(0, table, told, 1)
+    forms = Counter(np.frombuffer(sent.column("a")[0].as_py(), "<u4").tolist())
+    assert max(forms.values()) <= 100  # the phrase's anchor has 640
+
+
+def test_run_index_statistics(monkeypatch):
+    monkeypatch.setattr(run_index, "STREAM", 37)
+    for seed in range(20):
+        rnd = random.Random(seed)
+        parts = [bytes(rnd.choices(b"ab\0"[: 2 + seed % 2], k=rnd.randint(1, 40))) for _ in range(12)]
+        parts += [parts[0] + b"c" + parts[1], parts[0]] * (1 + seed % 3)
+        ends = np.cumsum([len(p) for p in parts])
+        data = np.frombuffer(b"".join(parts), np.uint8)
+        index = run_index.RunIndex(data, ends)
+        text = b"".join(p + b"\xff" for p in parts)
+        rows = sorted(range(len(text)), key=lambda i: text[i:])
+        assert run_index.suffix_array(np.frombuffer(text, np.uint8)).tolist() == rows
+        stats = {lo + k: (m, p) for lo, match, prior in index.matching_statistics() for k, (m, p) in enumerate(zip(match.tolist(), prior.tolist(), strict=True))}
+        assert sorted(stats) == sorted(rows)
+        for a, b in zip(rows, rows[1:], strict=False):
+            k = 0
+            while max(a, b) + k < len(text) and text[a + k] == text[b + k]:
+                k += 1
+            assert stats[b] == (k, a)
+        assert len(index.run_lengths) < len(text) and index.run_lengths.sum() == len(text)
+        held = {k: v for k, v in vars(index).items() if isinstance(v, np.ndarray) and k != "at"}
+        assert all(len(v) == len(index.run_lengths) for v in held.values())  # nothing of the size of the text is kept
+        owner = np.repeat(np.arange(len(parts)) * 3 % 7, [len(p) for p in parts])
+        inside = np.concatenate([np.arange(len(p), 0, -1) for p in parts])
+        owner = np.where(inside >= 5, owner, np.iinfo(np.int64).max)
+        least = {}
+        for i, o in enumerate(owner.tolist()):
+            five = data[i : i + 5].tobytes()
+            least[five] = min(least.get(five, o), o) if inside[i] >= 5 else least.get(five, 2**63 - 1)
+        want = [least[data[i : i + 5].tobytes()] if inside[i] >= 5 else 2**63 - 1 for i in range(len(data))]
+        assert index.least_owner(owner, 5).tolist() == want
 
 
 def rules(docs):
