@@ -48,8 +48,11 @@ def sample_indices(tot: Column, max_len: int | None = None, stride: int | None =
     )
 
 
-def frame_indices(n: int, length: Column, mode: str = "middle", offset: int = 0) -> Column:
-    """One index of each of min(n, length) intervals: ``start`` (plus offset, clamped) or ``middle``.
+def frame_indices(n: int, length: Column, mode: str = "rand", offset: int = 0, seed: int = 0, key: Column | None = None) -> Column:
+    """One index of each of min(n, length) intervals: ``start`` (plus offset, clamped), ``middle`` or ``rand``.
+
+    ``rand`` draws by a hash of seed, key and interval, so a run can be repeated; the last frame of an interval of
+    several is never drawn, as in the sampler that this stands for.
 
     ``round`` gives n rounded points from 0 to length - 1, whatever the length.
     """
@@ -63,6 +66,11 @@ def frame_indices(n: int, length: Column, mode: str = "middle", offset: int = 0)
         out = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.rint(i * (length - 1) / float(max(n - 1, 1))).cast("int"))
     elif mode == "start":
         out = F.transform(index, lambda i: F.least(bound(i) + offset, bound(i + 1) - 1))
+    elif mode == "rand":
+        draw = F.lit(None).cast("string") if key is None else key
+        out = F.transform(
+            index, lambda i: (bound(i) + F.pmod(F.xxhash64(F.lit(seed), draw, i), F.greatest(bound(i + 1) - 1 - bound(i), F.lit(1)))).cast("int")
+        )
     elif mode == "middle":
         out = F.transform(index, lambda i: F.floor((bound(i) + bound(i + 1) - 1) / 2).cast("int"))
     else:

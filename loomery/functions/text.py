@@ -11,6 +11,20 @@ NOISY_CHARS = ',/"-;.&?!()'
 SUFFIXES = ["", "k", "M", "G", "T", "E"]
 
 
+#: The public version scheme of Python packages: release (1), pre-release and its number (2, 3), post-release and its number
+#: (4, with 5 or 6), development release (7).
+VERSION = (
+    r"^v?(?:\d+!)?(\d+(?:\.\d+)*)(?:[-_.]?(alpha|beta|preview|pre|rc|a|b|c)[-_.]?(\d*))?"
+    r"(-(\d+)|[-_.]?(?:post|rev|r)[-_.]?(\d*))?([-_.]?dev[-_.]?\d*)?(?:\+[a-z0-9]+(?:[-_.][a-z0-9]+)*)?$"
+)
+
+
+def zero_padded(x: Column, width: int) -> Column:
+    """A number as text of at least ``width`` digits; a longer one is left as it is."""
+    s = x.cast("string")
+    return F.when(F.length(s) < width, F.lpad(s, width, "0")).otherwise(s)
+
+
 def delete_noisy_chars(s: Column, chars: str = NOISY_CHARS) -> Column:
     """each noisy character becomes a space; ends are trimmed."""
     return F.trim(F.translate(s, chars, " " * len(chars)))
@@ -21,12 +35,14 @@ def split_tokens(s: Column) -> Column:
     return F.filter(F.split(F.lower(delete_noisy_chars(s)), r"(?U)\s+"), lambda t: t != "")
 
 
+SAMPLE_NAME = r"^((?:.*/)?[^./]*)(\.[^/]*)$"
+
+
 def split_name(name: Column) -> Column:
     """struct(base, ext): ext is everything from the first dot of the last path part, dot included."""
-    pattern = r"^((?:.*/)?[^./]*)(\.[^/]*)$"
     return F.struct(
-        F.nullif(F.regexp_extract(name, pattern, 1), F.lit("")).alias("base"),
-        F.nullif(F.regexp_extract(name, pattern, 2), F.lit("")).alias("ext"),
+        F.nullif(F.regexp_extract(name, SAMPLE_NAME, 1), F.lit("")).alias("base"),
+        F.nullif(F.regexp_extract(name, SAMPLE_NAME, 2), F.lit("")).alias("ext"),
     )
 
 
@@ -102,14 +118,22 @@ def time_range(s: Column) -> Column:
 def digit_version(v: Column, length: int = 4) -> Column:
     """a version as a comparable array of integers: ``length`` release numbers, then stage and its number.
 
-    Stages order a < b < rc < none < post.
+    Stages order dev < a < b < rc < none < post; a local part (``+cu118``) does not count. Text that is no version is null.
     """
-    release = F.regexp_extract_all(F.regexp_extract(v, r"^v?(\d+(?:\.\d+)*)", 1), F.lit(r"(\d+)"), 1)
-    padded = F.slice(F.concat(F.transform(release, lambda x: x.cast("int")), F.array_repeat(F.lit(0), length)), 1, length)
-    stage = F.regexp_extract(v, r"[.\-_]?(a|b|rc|post)\.?(\d*)", 1)
-    number = F.regexp_extract(v, r"[.\-_]?(?:a|b|rc|post)\.?(\d+)", 1)
-    order = F.when(stage == "a", -3).when(stage == "b", -2).when(stage == "rc", -1).when(stage == "post", 1).otherwise(0)
-    return F.concat(padded, F.array(order, F.coalesce(F.nullif(number, F.lit("")).cast("int"), F.lit(0))))
+    parts = F.lower(F.trim(v))
+
+    def part(k: int) -> Column:
+        return F.regexp_extract(parts, VERSION, k)
+
+    def number(k: int) -> Column:
+        return F.coalesce(F.nullif(part(k), F.lit("")).cast("int"), F.lit(0))
+
+    pre, post, dev = part(2), part(4) != "", part(7) != ""
+    release = F.transform(F.split(part(1), r"\."), lambda x: x.cast("int"))
+    padded = F.slice(F.concat(release, F.array_repeat(F.lit(0), length)), 1, length)
+    stage = F.when(pre.isin("a", "alpha"), -3).when(pre.isin("b", "beta"), -2).when(pre != "", -1).when(dev, -4).when(post, 1).otherwise(0)
+    count = F.when(pre != "", number(3)).when(dev, 0).when(post, F.greatest(number(5), number(6))).otherwise(0)
+    return F.when(parts.rlike(VERSION), F.concat(padded, F.array(stage, count)))
 
 
 def map_to_text(m: Column, delim: str = ", ", sep: str = "=", fmt: str | None = None, plain: tuple[str, ...] = ()) -> Column:
@@ -126,7 +150,7 @@ def map_to_text(m: Column, delim: str = ", ", sep: str = "=", fmt: str | None =
 
 def cell(values: Column, width: int = 5, sep: str = "|") -> Column:
     """numbers zero-padded to ``width`` and joined by ``sep``."""
-    return F.array_join(F.transform(values, lambda x: F.lpad(x.cast("string"), width, "0")), sep)
+    return F.array_join(F.transform(values, lambda x: zero_padded(x, width)), sep)
 
 
 def fill(template: str, *columns: Column) -> Column:

@@ -1,7 +1,9 @@
 """Positions and running totals over a total order, without moving all rows to one task.
 
 A window without partitions sorts everything in one task. Here rows are range-partitioned by the order and get their
-place inside the partition; partition totals (a row per partition) give the offsets.
+place inside the partition; partition totals (a row per partition) give the offsets. Range bounds are sampled anew each
+time a plan is run, and twice where a plan needs them with different columns, so the placed rows are written once and
+both the totals and the result are read from that table.
 """
 
 from __future__ import annotations
@@ -9,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomery.sources.shared import written
+
 
 def with_prefix(df: DataFrame, order: list[Column | str], amounts: dict[str, Column]) -> DataFrame:
     """Adds, for each name, the running sum of its amount up to and with the row.
@@ -20,7 +24,8 @@ def with_prefix(df: DataFrame, order: list[Column | str], amounts: dict[str, Col
     dealt = dealt.withColumn("_pid", F.spark_partition_id())
     inside = Window.partitionBy("_pid").orderBy(*cols).rowsBetween(Window.unboundedPreceding, 0)
     placed = dealt.withColumns({f"_r_{k}": F.sum(f"_a_{k}").over(inside) for k in amounts})
-    totals = dealt.groupBy("_pid").agg(*[F.sum(f"_a_{k}").alias(f"_t_{k}") for k in amounts])
+    placed = written(placed, "placed")
+    totals = placed.groupBy("_pid").agg(*[F.sum(f"_a_{k}").alias(f"_t_{k}") for k in amounts])
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
     offsets = totals.select("_pid", *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_o_{k}") for k in amounts])
     out = placed.join(F.broadcast(offsets), "_pid")
@@ -34,6 +39,14 @@ def with_position(df: DataFrame, order: list[Column | str], name: str = "pos") -
     return out.withColumn(name, F.col(name) - 1)
 
 
+def group_position(df: DataFrame, group: str, order: list[Column | str], name: str = "pos") -> DataFrame:
+    """Adds the row's position (from 0) within its group, which may be of any size: no task sorts a whole group."""
+    out = with_position(df, [group, *order], "_p")
+    first = out.groupBy(F.col(group).alias("_g")).agg(F.min("_p").alias("_first"))  # a row per group
+    out = out.join(first, F.col(group).eqNullSafe(F.col("_g")))
+    return out.withColumn(name, F.col("_p") - F.col("_first")).drop("_p", "_g", "_first")
+
+
 def lengths_to_ranges(df: DataFrame, order: str, length: str, start: int = 0) -> DataFrame:
     """Half-open [lo, hi) of each length, in order."""
     out = with_prefix(df, [order], {"hi": F.col(length).cast("long")})

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomery.operators.ordering import with_position
+from loomery.operators.ordering import group_position, with_position
 
 
 def hash_order(id_: Column, seed: int = 0, epoch: int = 0, scope: str = "") -> Column:
@@ -91,11 +91,10 @@ def interleave(df: DataFrame, source: str, order: str, seed: int = 0) -> DataFra
 
     The schedule has a slot for every row; the k-th slot of a source takes its k-th row.
     """
-    rn = Window.partitionBy(source).orderBy(order)
-    rows = df.withColumn("k", F.row_number().over(rn))
+    rows = group_position(df, source, [order], "k").withColumn("k", F.col("k") + 1)
     slot = rows.withColumn("_h", hash_order(F.concat_ws(":", source, F.col("k").cast("string")), seed, 0, "slot"))
     slots = with_position(slot.select(F.col(source).alias("_s"), "_h"), ["_h"], "step")
-    slots = slots.withColumn("k", F.row_number().over(Window.partitionBy("_s").orderBy("step")))
+    slots = group_position(slots, "_s", ["step"], "k").withColumn("k", F.col("k") + 1)
     return rows.join(slots.withColumnRenamed("_s", source).drop("_h"), [source, "k"]).drop("k")
 
 
@@ -129,10 +128,10 @@ def source_batches(df: DataFrame, source: str, order: Column, quota: dict[str, i
 
     A row per (batch, slot). Cycles repeat rows by an explode of cycle numbers, so short sources do not end the mix.
     """
-    ids = Window.partitionBy(source).orderBy(order)
-    rows = df.filter(F.col(source).isin(list(quota))).withColumn("_k", F.row_number().over(ids) - 1)
-    size = df.groupBy(source).agg(F.count("*").alias("_n"))
-    rows = rows.join(size, source)
+    rows = df.filter(F.col(source).isin(list(quota))).withColumn("_o", order)
+    rows = group_position(rows, source, ["_o"], "_k").drop("_o")
+    size = rows.groupBy(source).agg(F.count("*").alias("_n"))
+    rows = rows.join(F.broadcast(size), source)  # a row for each source of ``quota``
     q = F.element_at(F.create_map(*[x for k, v in quota.items() for x in (F.lit(k), F.lit(v))]), F.col(source))
     rows = rows.withColumn("_q", q).filter(F.col("_k") < F.col("_q") * batches)
     cycles = F.floor((F.col("_q") * batches - 1 - F.col("_k")) / F.col("_n"))
@@ -144,8 +143,7 @@ def source_batches(df: DataFrame, source: str, order: Column, quota: dict[str, i
 
 def grouped_batches(df: DataFrame, group: str, order: str, batch: int, drop_uneven: bool = False) -> DataFrame:
     """Batches of one group each, in the order inside the group; batches are ordered by their first row."""
-    rn = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
-    rows = df.withColumn("_b", F.floor(rn / batch))
+    rows = group_position(df, group, [order], "_k").withColumn("_b", F.floor(F.col("_k") / batch)).drop("_k")
     first = rows.groupBy(group, "_b").agg(F.min(order).alias("_first"), F.count("*").alias("_n"))
     if drop_uneven:
         first = first.filter(F.col("_n") == batch)

@@ -86,9 +86,15 @@ def pad_mask(x: Column, length: Column, side: str = "right") -> Column:
 
 
 def pad_batch(df: DataFrame, column: str, batch: list[str], fill: Column) -> DataFrame:
-    """Arrays padded to the longest of their batch, with mask (true is padding) and duration."""
-    longest = F.max(F.size(column)).over(Window.partitionBy(*batch))
-    df = df.withColumn("_n", longest)
+    """Arrays padded to the longest of their batch, with mask (true is padding) and duration.
+
+    The longest is aggregated and joined, so a batch may be spread over many tasks.
+    """
+    longest = df.groupBy(*[F.col(c).alias(f"_b{k}") for k, c in enumerate(batch)]).agg(F.max(F.size(column)).alias("_n"))
+    same = F.lit(True)
+    for k, c in enumerate(batch):
+        same = same & F.col(c).eqNullSafe(F.col(f"_b{k}"))
+    df = df.join(longest, same).drop(*[f"_b{k}" for k in range(len(batch))])
     return df.withColumns(
         {
             column: pad(F.col(column), F.col("_n"), fill),

@@ -130,7 +130,7 @@ def lookup_default(t: Tables):
 @query("SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def dimension_lookup(t: Tables):
     dim = t.nation.select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    return t.customer.join(F.broadcast(dim), "c_nationkey").select("c_custkey", "n_name")  # 25 nations
+    return t.customer.join(dim, "c_nationkey").select("c_custkey", "n_name")
 
 
 @query("""WITH b AS (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS word FROM benchmark), v AS (SELECT word, row_number() OVER (ORDER BY word) + 1 AS id FROM b WHERE word <> ''),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomery.operators import sampling as S
-from loomery.operators.ordering import with_position
+from loomery.operators.ordering import group_position, with_position
 from loomery.plans.registry import Tables, query
 
 H = "md5('{0}-{1}-{2}-' || {3})"
@@ -58,11 +58,8 @@ def rank_ntile(t: Tables):
 @query("SELECT doc_id, lang, count(*) OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS k FROM documents")
 def source_positions(t: Tables):
     """Each source keeps its own order in the interleaved schedule (the schedule itself has no SQL)."""
-    from pyspark.sql import Window
-
     mixed = S.interleave(t.documents.select("doc_id", "lang"), "lang", "doc_id")
-    k = F.row_number().over(Window.partitionBy("lang").orderBy("step")) - 1
-    return mixed.select("doc_id", "lang", k.cast("long").alias("k"))
+    return group_position(mixed, "lang", ["step"], "k").select("doc_id", "lang", "k")
 
 
 @query("""WITH s AS (SELECT lang, count(*) AS n, CASE lang WHEN 'en' THEN 2.0 ELSE 1.0 END AS w FROM documents GROUP BY 1), c AS (SELECT *, (sum(w) OVER (ORDER BY lang) - w) / sum(w) OVER () AS lo, sum(w) OVER (ORDER BY lang) / sum(w) OVER () AS hi FROM s),

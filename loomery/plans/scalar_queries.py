@@ -106,9 +106,13 @@ def parse_range(t: Tables):
     return t.events.select("event_id", r.alias("r")).select("event_id", "r.st", "r.ed")
 
 
-@query("""SELECT p_partkey, [(p_partkey % 7)::INT, p_size, 0, 0] || CASE p_partkey % 4 WHEN 0 THEN [0, 0] WHEN 1 THEN [-1, 2] WHEN 2 THEN [-3, 1] ELSE [1, 4] END AS v FROM part""")
+VERSION_TAILS = ["", "rc2", "a1", ".post4", ".dev3", "+cuda11", "+abc", "b", "-12", ".alpha-3", "c1", ".post1.dev2", "beta5.post2+x.1"]
+
+
+@query("""SELECT p_partkey, [(p_partkey % 7)::INT, p_size, 0, 0] || CASE p_partkey % 13 WHEN 0 THEN [0, 0] WHEN 1 THEN [-1, 2] WHEN 2 THEN [-3, 1] WHEN 3 THEN [1, 4] WHEN 4 THEN [-4, 0] WHEN 5 THEN [0, 0] WHEN 6 THEN [0, 0]
+ WHEN 7 THEN [-2, 0] WHEN 8 THEN [1, 12] WHEN 9 THEN [-3, 3] WHEN 10 THEN [-1, 1] WHEN 11 THEN [-4, 0] ELSE [-2, 5] END AS v FROM part""")
 def version_digits(t: Tables):
-    tail = F.element_at(F.array(*[F.lit(x) for x in ("", "rc2", "a1", ".post4")]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    tail = F.element_at(F.array(*[F.lit(x) for x in VERSION_TAILS]), (F.col("p_partkey") % 13 + 1).cast("int"))
     v = F.concat((F.col("p_partkey") % 7).cast("string"), F.lit("."), F.col("p_size").cast("string"), tail)
     return t.part.select("p_partkey", X.digit_version(v).alias("v"))
 
@@ -119,9 +123,9 @@ def map_text(t: Tables):
     return t.part.select("p_partkey", X.map_to_text(m).alias("s"))
 
 
-@query("SELECT o_orderkey, lpad(o_orderkey::VARCHAR, 9, '0') || '|' || lpad(o_custkey::VARCHAR, 9, '0') AS cell FROM orders")
+@query("SELECT o_orderkey, CASE WHEN len(o_orderkey::VARCHAR) < 3 THEN lpad(o_orderkey::VARCHAR, 3, '0') ELSE o_orderkey::VARCHAR END || '|' || CASE WHEN len(o_custkey::VARCHAR) < 3 THEN lpad(o_custkey::VARCHAR, 3, '0') ELSE o_custkey::VARCHAR END AS cell FROM orders")
 def formatted_cells(t: Tables):
-    return t.orders.select("o_orderkey", X.cell(F.array("o_orderkey", "o_custkey"), 9).alias("cell"))
+    return t.orders.select("o_orderkey", X.cell(F.array("o_orderkey", "o_custkey"), 3).alias("cell"))
 
 
 @query("SELECT page_id, 'https://host/' || page_id || '/resolve/main/' || (page_id * 2) || '.bin' AS u FROM pages")
@@ -172,7 +176,7 @@ def frame_indices(t: Tables):
     n = t.events.groupBy("user_id").agg(F.count("*").alias("n"))
     c = F.col("n")
     return n.select(
-        "user_id", N.frame_indices(8, c).alias("middle"), N.frame_indices(8, c, "start", 2).alias("start"), N.frame_indices(8, c, "round").alias("rounded")
+        "user_id", N.frame_indices(8, c, "middle").alias("middle"), N.frame_indices(8, c, "start", 2).alias("start"), N.frame_indices(8, c, "round").alias("rounded")
     )
 
 

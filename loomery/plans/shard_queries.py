@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomery.plans.registry import Tables, query
-from loomery.sources import tars, telemetry
+from loomery.sources import files, tars, telemetry
+from loomery.sources.shared import fresh_path, written
 
 
 def _members(t: Tables):
@@ -126,3 +127,83 @@ def telemetry_nodes(t: Tables):
 @query("SELECT event_id AS pid, 'u' || (event_id % 7) AS user, 'python ' || event_type AS command FROM events")
 def telemetry_processes(t: Tables):
     return telemetry.process_rows(_records(t), "user_id").select("pid", "user", "command")
+
+
+@query("""SELECT user, cpu, gpu_mem FROM (SELECT 'u' || (event_id % 7) AS user, sum(event_id % 50)::DOUBLE AS cpu, sum(len(props))::BIGINT AS gpu_mem FROM events GROUP BY 1) WHERE cpu > 100 OR gpu_mem > 0""")
+def telemetry_activity(t: Tables):
+    cpu = t.events.groupBy("user_id", F.concat(F.lit("u"), (F.col("event_id") % 7).cast("string")).alias("u")).agg(F.sum(F.col("event_id") % 50).cast("double").alias("c"))
+    usage = cpu.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("u", "c"))).alias("m"))
+    r = _records(t).join(usage, "user_id").withColumn("r", F.col("r").withField("system", F.struct(F.col("m").alias("user_cpu_percent"))))
+    return telemetry.user_activity(r, "user_id")
+
+
+#: Text bytes of a tar in the file-backed queries.
+TAR_BYTES = 200_000
+IN_TARS = f"""(SELECT doc_id, lang, coalesce(text, '') AS text, ((sum(strlen(coalesce(text, ''))) OVER (ORDER BY doc_id) - strlen(coalesce(text, ''))) // {TAR_BYTES})::BIGINT AS tar FROM documents)"""
+
+
+def _tars(t: Tables) -> str:
+    """Documents as tar files, a text and a language member each; the folder."""
+    d = t.documents.select("doc_id", "lang", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
+    plan = tars.tar_plan(d.withColumn("size", F.octet_length("text")), "doc_id", "size", TAR_BYTES)
+    both = F.array(F.struct(F.lit(".lang").alias("ext"), F.encode("lang", "UTF-8").alias("data")), F.struct(F.lit(".txt").alias("ext"), F.col("text").alias("data")))
+    rows = plan.select("tar", "doc_id", F.explode(both).alias("m")).select("tar", "doc_id", F.concat(F.lit("d/"), "doc_id", "m.ext").alias("name"), "m.data")
+    folder = fresh_path(t.spark, "tars")
+    written(tars.write_tars(rows, folder, ["doc_id", "name"]), "tar-list")
+    return folder
+
+
+def _number():
+    return F.regexp_extract("shard", r"(\d+)\.tar$", 1).cast("long").alias("tar")
+
+
+@query(f"""WITH m AS (SELECT tar, doc_id, unnest(['.lang', '.txt']) AS ext, unnest([lang, text]) AS data FROM {IN_TARS})
+ SELECT tar, row_number() OVER (PARTITION BY tar ORDER BY doc_id, ext) - 1 AS pos, 'd/' || doc_id || ext AS name, strlen(data) AS size, md5(data) AS md5sum FROM m""")
+def tar_members(t: Tables):
+    """Members of tar files, read by their offsets."""
+    return tars.members(t.spark, _tars(t)).select(_number(), "pos", "name", "size", F.md5("data").alias("md5sum"))
+
+
+@query(f"""SELECT 'd/' || doc_id AS key, row_number() OVER (ORDER BY doc_id) - 1 AS idx, row_number() OVER (PARTITION BY tar ORDER BY doc_id) - 1 AS inner_idx, tar, lang, md5(text) AS md5sum FROM {IN_TARS}""")
+def tar_samples(t: Tables):
+    """Every sample of a list of tar files by its global index."""
+    s = tars.global_index(tars.samples(tars.members(t.spark, _tars(t))))
+    return s.select("key", "idx", "inner_idx", _number(), tars.decode_text(F.col("files")[".lang"]).alias("lang"), F.md5(F.col("files")[".txt"]).alias("md5sum"))
+
+
+@query(f"""WITH b AS (SELECT tar, count(*) AS nsamples, sum(1024 + 512 * (ceil(strlen(lang) / 512.0) + ceil(strlen(text) / 512.0)))::BIGINT + 1024 AS n FROM {IN_TARS} GROUP BY 1)
+ SELECT tar, nsamples, (ceil(n / 10240.0) * 10240)::BIGINT AS filesize, true AS verified FROM b""")
+def tar_shards(t: Tables):
+    """The shard list of tar files, and that it verifies."""
+    folder = _tars(t)
+    table = written(tars.shard_table(t.spark, folder), "shards")
+    wrong = tars.verified(table, table.withColumn("md5sum", F.upper("md5sum"))).select("url")
+    right = table.join(wrong, "url", "left").join(tars.verified(table, table).select(F.col("url").alias("bad")), F.col("url") == F.col("bad"), "left")
+    return right.select(F.regexp_extract("url", r"(\d+)\.tar$", 1).cast("long").alias("tar"), "nsamples", "filesize", F.col("bad").isNull().alias("verified"))
+
+
+@query("SELECT item_id, text FROM benchmark")
+def jsonl_round_trip(t: Tables):
+    """S01, S02."""
+    path = fresh_path(t.spark, "jsonl")
+    files.write_jsonl(t.benchmark, path)
+    return files.read_jsonl(t.spark, path, t.benchmark.schema)
+
+
+@query("SELECT item_id, text, CASE WHEN item_id % 3 = 0 THEN ' a,\"b\" ' END AS odd FROM benchmark")
+def csv_round_trip(t: Tables):
+    """Line ends, separators, quotes, nulls and outer white space come back."""
+    path = fresh_path(t.spark, "csv")
+    rows = t.benchmark.select("item_id", "text", F.when(F.col("item_id") % 3 == 0, ' a,"b" ').alias("odd"))
+    files.write_csv(rows, path)
+    return files.read_csv(t.spark, path, rows.schema, encoding=files.fitting_encoding(t.spark, path))
+
+
+@query("SELECT source, count(*) AS n FROM documents GROUP BY 1")
+def cached_result(t: Tables):
+    """Made once, then read from where it was kept."""
+    from loomery.sources.shared import cached_table
+
+    path = fresh_path(t.spark, "cached")
+    cached_table(t.spark, path, lambda: t.documents.groupBy("source").agg(F.count("*").alias("n")))
+    return cached_table(t.spark, path, lambda: t.documents.limit(0).groupBy("source").agg(F.count("*").alias("n")))

@@ -32,14 +32,40 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 def read_csv(
     spark: SparkSession, path: str, schema: str | T.StructType | None, sep: str = ",", header: bool = True, encoding: str = "UTF-8"
 ) -> DataFrame:
-    """The encoding is explicit; without a schema columns are inferred."""
-    reader = spark.read.options(sep=sep, header=header, encoding=encoding)
+    """The encoding is explicit (see ``fitting_encoding``); without a schema columns are inferred."""
+    reader = spark.read.options(sep=sep, header=header, encoding=encoding, multiLine=True, escape='"')
     return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", header: bool = True, mode: str = "errorifexists") -> None:
-    """S05."""
-    df.write.mode(mode).options(sep=sep, header=header).csv(path)
+    """Values with separators, quotes and line ends are quoted, white space is kept."""
+    keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode(mode).options(sep=sep, header=header, escape='"', **keep).csv(path)
+
+
+def fitting_encoding(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("UTF-8", "ISO-8859-1")) -> str:
+    """The first encoding that decodes every file; the last one if none fits.
+
+    A single-byte encoding decodes nearly everything, so the strict ones come first.
+    """
+    content = read_binary(spark, path).select("content")
+    for encoding in encodings[:-1]:
+
+        def run(batches: Iterator[pd.DataFrame], encoding=encoding) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield pd.DataFrame({"fits": [_decodes(x, encoding) for x in b["content"]]})
+
+        if content.mapInPandas(run, "fits boolean").filter("not fits").isEmpty():
+            return encoding
+    return encodings[-1]
+
+
+def _decodes(content: bytes, encoding: str) -> bool:
+    try:
+        content.decode(encoding)
+    except UnicodeDecodeError:
+        return False
+    return True
 
 
 def read_binary(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomery.functions.text import zero_padded
+
 SCHEMA = (
     "hostname string, gpus array<struct<index:int, name:string, `utilization.gpu`:int, `memory.total`:bigint, `memory.used`:bigint, "
     "processes:array<struct<pid:bigint, username:string, gpu_memory_usage:bigint, full_command:array<string>>>>>, "
@@ -50,7 +52,7 @@ def node_summary(records: DataFrame, node: str) -> DataFrame:
     users = process_rows(records, node).groupBy(node).agg(F.array_join(F.sort_array(F.collect_set("user")), ", ").alias("users"))
     free = F.transform(
         F.array_sort(F.collect_list(F.struct("gpu", (F.col("mem_total") - F.col("mem_used")).alias("f")))),
-        lambda x: F.lpad(x["f"].cast("string"), 5, "0"),
+        lambda x: zero_padded(x["f"], 5),
     )
     s = g.groupBy(node).agg(
         F.min_by("gpu_name", "gpu").alias("gpu_name"), F.count("gpu").alias("n_gpus"), F.array_join(free, "|").alias("free"), F.avg("util").alias("util")

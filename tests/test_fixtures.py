@@ -168,3 +168,20 @@ def test_members_of_one_partition(spark):
     assert relational.members(df, "node", ["a", "b"], single="part").count() == 2
     with pytest.raises(Exception, match="several values"):
         relational.members(df, "node", ["a", "c"], single="part").collect()
+
+
+def test_versions(spark):
+    known = {"1.8.0+cuda11": [1, 8, 0, 0, 0, 0], "1.0.0+abc": [1, 0, 0, 0, 0, 0], "1.2.dev3": [1, 2, 0, 0, -4, 0], "v2.0RC1": [2, 0, 0, 0, -1, 1], "1.0-3": [1, 0, 0, 0, 1, 3], "nonsense": None, "1.2.3.4.5": [1, 2, 3, 4, 0, 0]}
+    for v, want in known.items():
+        assert one(spark, text.digit_version(F.lit(v))) == want
+
+
+def test_cells_are_never_cut(spark):
+    assert one(spark, text.cell(F.col("a"), 3), a=[7, 123456]) == "007|123456"
+
+
+def test_random_frames_are_one_of_each_interval(spark):
+    for length in (3, 8, 11, 100):
+        got = one(spark, numeric.frame_indices(8, F.col("n"), seed=1), n=length)
+        assert got == sorted(set(got)) and len(got) == min(8, length) and 0 <= got[0] and got[-1] < length
+    assert one(spark, numeric.frame_indices(8, F.col("n"), key=F.lit("a")), n=1000) != one(spark, numeric.frame_indices(8, F.col("n"), key=F.lit("b")), n=1000)

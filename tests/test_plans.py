@@ -35,7 +35,8 @@ def test_top_k_is_cut_before_the_exchange(spark, small):
 
 
 @pytest.mark.parametrize("name", ["chunk_shuffle", "length_ranges", "retention_plan", "rank_ntile", "tar_plan"])
-def test_total_orders_are_ranges(spark, small, name):
+def test_total_orders_are_ranges(spark, small, name, monkeypatch):
+    monkeypatch.setattr(ordering, "written", lambda df, name: df)  # the whole plan at once
     text = plan(catalogue.queries()[name](spark, small))
     assert "rangepartitioning" in text
     # one task sees a row per partition, never the rows
@@ -53,3 +54,20 @@ def test_interval_lookup_is_an_equi_join(spark):
 def test_positions_are_right_with_many_partitions(spark):
     got = ordering.with_position(spark.range(500).repartition(9), ["id"]).collect()
     assert all(r.pos == r.id for r in got) and len(got) == 500
+
+
+def test_positions_are_right_when_range_bounds_are_sampled(spark):
+    """Ranges of many rows are sampled, and two samples of one table differ."""
+    df = spark.range(600_000).select(F.hash("id").alias("k"), "id", F.concat(F.lit("payload"), "id").alias("p"))
+    got = ordering.with_position(df, ["k", "id"]).select("k", "id", "pos").toPandas().sort_values(["k", "id"])
+    assert got["pos"].tolist() == list(range(600_000))
+    got = ordering.group_position(df.withColumn("g", F.when(F.col("id") % 3 > 0, F.col("id") % 7)), "g", ["k", "id"]).toPandas()
+    want = got.sort_values(["g", "k", "id"]).groupby("g", dropna=False).cumcount()
+    assert (got["pos"] == want.reindex(got.index)).all()
+
+
+@pytest.mark.parametrize("name", ["source_positions", "source_mix", "grouped_batches", "grouped_samples", "shard_meta", "matching_rows", "nested_batch"])
+def test_no_task_sorts_a_whole_source(spark, small, name, monkeypatch):
+    monkeypatch.setattr(ordering, "written", lambda df, name: df)
+    text = plan(catalogue.queries()[name](spark, small))
+    assert set(re.findall(r"windowspecdefinition\((\w+)#", text)) <= {"_pid"}

@@ -115,3 +115,57 @@ def test_registry_and_scoring(spark):
     assert got.completion == "abc:7"
     r = spark.range(1).select(udf.unwrap_completion(F.lit('{"choices":[{"text":"hi"}],"usage":{"total_tokens":5}}')).alias("r")).first().r
     assert (r.text, r.tokens) == ("hi", 5)
+
+
+def test_results_are_kept(spark, tmp_path):
+    from loomery.sources import shared
+
+    calls = []
+
+    def make():
+        calls.append(1)
+        return spark.range(3)
+
+    path = f"file://{tmp_path}/kept"
+    assert [shared.cached_table(spark, path, make).count() for _ in range(2)] == [3, 3] and len(calls) == 1
+    cache = shared.TableCache(2)
+    for key in "abacab":
+        assert cache.get(key, make).count() == 3
+    assert len(calls) == 1 + 4 and list(cache.tables) == ["a", "b"]  # b was given up for c and came again
+    cache.clear()
+    with shared.scratch(spark) as keep:
+        gone, stays = shared.written(spark.range(2), "gone"), shared.written(spark.range(2), "stays")
+        keep += [p for p in shared._made if "/stays-" in p]
+        folders = [p for p in shared._made if "/gone-" in p]
+    assert folders and not any(shared.exists(spark, p) for p in folders) and stays.count() == 2 and gone.columns == ["id"]
+
+
+def test_encodings(spark, tmp_path):
+    for name, raw, want in (("u", "é,1".encode(), "UTF-8"), ("l", "é,1".encode("ISO-8859-1"), "ISO-8859-1")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.csv").write_bytes(raw)
+        assert files.fitting_encoding(spark, f"{tmp_path}/{name}") == want
+        assert files.read_csv(spark, f"{tmp_path}/{name}", "a string, b int", header=False, encoding=want).first().a == "é"
+
+
+def test_tar_files(spark, tmp_path):
+    import io as _io
+
+    rows = [(k // 3, f"d/{k}.bin", bytes([k]) * (k * 700)) for k in range(10)]
+    df = spark.createDataFrame(rows, "tar long, name string, data binary")
+    listed = tars.write_tars(df, f"file://{tmp_path}/t", ["name"]).collect()
+    assert sorted((r.tar, r.files) for r in listed) == [(0, 3), (1, 3), (2, 3), (3, 1)]
+    for r in listed:
+        path = tmp_path / "t" / f"{r.tar:06d}.tar"
+        assert path.stat().st_size == r.filesize
+        with tarfile.open(path) as t:
+            assert t.getnames() == [n for k, n, _ in rows if k == r.tar]
+    got = {(r.name, bytes(r.data)) for r in tars.members(spark, f"{tmp_path}/t").collect()}
+    assert got == {(n, d) for _, n, d in rows}
+    buf = _io.BytesIO()
+    with tarfile.open(fileobj=buf, mode="w:gz") as t:
+        info = tarfile.TarInfo("a.txt")
+        info.size = 2
+        t.addfile(info, _io.BytesIO(b"hi"))
+    (tmp_path / "z.tgz").write_bytes(buf.getvalue())
+    assert [bytes(r.data) for r in tars.members(spark, str(tmp_path), "*.tgz").collect()] == [b"hi"]
