@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed at a time; a longer text is one chunk.
-CHUNK = 3_000_000
+CHUNK = 1_000_000
 WHITE = np.zeros(256, bool)
 WHITE[[32, *range(9, 14)]] = True
 #: Bytes to lower case, A-Z only.

@@ -47,7 +47,7 @@ ANCHOR = 24
 BLOCK_BYTES = 12_000_000
 BUCKET_BYTES = 24_000_000
 #: Bytes that one index takes, in whole anchors.
-INDEX_BYTES = 4_000_000
+INDEX_BYTES = 2_000_000
 #: Different fragments that make an anchor hot; a block reports those of which it has more than FEW.
 HOT_FORMS, FEW = 4096, 4
 #: What a block is told: smallest doc_ids of distinct texts, shared anchors, covered places.
@@ -351,7 +351,7 @@ def covered(b: Texts) -> np.ndarray:
         start, length = np.frombuffer(r["a"], "<u8").astype(np.int64), np.frombuffer(r["b"], "<u4").astype(np.int64)
         np.add.at(change, start, 1)
         np.add.at(change, start + length, -1)
-    return np.cumsum(change[:-1]) > 0
+    return np.cumsum(change[:-1], dtype=np.int32) > 0
 
 
 def cut(docs: pa.Table, told: pa.Table) -> pa.Table:
