@@ -18,7 +18,7 @@ a pair is verified only if it shares as many prefix tokens as the smaller ``l``
    the cluster's radius links with none of its members, and otherwise only members far enough from the leader are
    looked at. A large group of near copies so costs one verification a document, and no link is lost.
 5. Of a group that was dealt, the leaders alone meet, with their radii: near ones link, far ones rule their clusters
-   out, and where the radii leave it open, the members that could link meet in a task of their own.
+   out, and where the radii leave it open, the smaller cluster's members visit those of the larger one.
 
 Defined cases: null and empty texts and texts without words have an empty set and link with nothing; a null doc_id joins
 by its text but never names a class (component_id is null where no other id does); rows of one doc_id, with equal or
@@ -48,6 +48,8 @@ BUCKET_BYTES = 48_000_000
 VERIFY_COST = 0.25
 #: A group is dealt over tasks if it has more tokens than this share of all, within these bounds.
 LEAST_TOKENS, MOST_TOKENS = 16_000, 4_000_000
+#: Tokens of the leaders that one task compares in pairs, and clusters that a host sees in one task.
+LEADER_TOKENS, VISITORS = 500_000, 4096
 #: Stand-ins for null ids take the highest 2**31 numbers.
 STAND_IN_BITS = 31
 SALTS = 16
@@ -240,16 +242,18 @@ MARGIN = 1e-9
 
 
 class _Group:
-    """The documents of one task, numbered; a verification marks one set and counts the marks in another."""
+    """The documents of one task by number, with classes; a verification marks one set and counts the marks in others."""
 
     def __init__(self, n: np.ndarray, tokens: list[np.ndarray]):
-        self.n = n.tolist()
-        ends = np.cumsum([len(t) for t in tokens])
-        every, back = np.unique(np.concatenate(tokens), return_inverse=True)
-        self.tokens = np.split(back, ends[:-1])
+        self.n = np.asarray(n, np.int64)
+        self.sizes = np.array([len(t) for t in tokens], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        every, self.flat = np.unique(np.concatenate(tokens), return_inverse=True)
         self.mark = np.zeros(len(every), bool)
-        self.up = list(range(len(n)))
-        self.marked = -1
+        self.up = list(range(len(tokens)))
+
+    def tokens(self, x: int) -> np.ndarray:
+        return self.flat[self.starts[x] : self.starts[x] + self.sizes[x]]
 
     def find(self, x: int) -> int:
         up = self.up
@@ -257,115 +261,197 @@ class _Group:
             up[x] = x = up[up[x]]
         return x
 
-    def unite(self, x: int, y: int) -> None:
-        self.up[self.find(x)] = self.find(y)
-
-    def look(self, x: int) -> None:
-        """From now on ``distance`` is that to ``x``."""
-        if self.marked >= 0:
-            self.mark[self.tokens[self.marked]] = False
-        self.marked = x
-        self.mark[self.tokens[x]] = True
-
-    def distance(self, y: int) -> tuple[bool, float]:
-        """Whether y links with the document looked at, and its distance."""
-        both = int(np.count_nonzero(self.mark[self.tokens[y]]))
-        union = self.n[self.marked] + self.n[y] - both
-        return 100 * both >= PERCENT * union, 1 - both / union
+    def unite(self, x: int, y: int) -> bool:
+        """Whether the two were of different classes, which are one now."""
+        x, y = self.find(x), self.find(y)
+        self.up[x] = y
+        return x != y
+
+    def shared(self, others: np.ndarray) -> np.ndarray:
+        """How many of its tokens are marked, for each of ``others``."""
+        if len(others) < 8:
+            return np.array([np.count_nonzero(self.mark[self.tokens(y)]) for y in others.tolist()], np.int64)
+        size = self.sizes[others]
+        ends = np.cumsum(size)
+        spots = np.repeat(self.starts[others] - (ends - size), size) + np.arange(ends[-1])
+        return np.add.reduceat(self.mark[self.flat[spots]], ends - size, dtype=np.int64)
+
+    def judged(self, x: int, others: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether it links with x, distance from x) of each of ``others`` that share so many tokens with it."""
+        union = self.n[x] + self.n[others] - shared
+        return 100 * shared >= PERCENT * union, 1 - shared / union
+
+
+class _Rows:
+    """An array that grows."""
+
+    def __init__(self, kind):
+        self.data, self.used = np.zeros(64, kind), 0
+
+    def add(self, value) -> None:
+        self.extend((value,))
+
+    def extend(self, values) -> None:
+        while self.used + len(values) > len(self.data):
+            self.data = np.concatenate([self.data, np.zeros_like(self.data)])
+        self.data[self.used : self.used + len(values)] = values
+        self.used += len(values)
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.data[: self.used]
+
+
+class _Clusters:
+    """Clusters of a group: what each prefix token lists, and what decides whether a document can link with a member."""
+
+    def __init__(self):
+        self.lists: dict[int, list[int]] = {}  # prefix token -> clusters
+        self.token, self.cluster = _Rows(np.int64), _Rows(np.int64)  # the same as pairs
+        self.head, self.least, self.low, self.high = (_Rows(np.int64) for _ in range(4))
+        self.widest = _Rows(np.float64)
+        self.head_tokens, self.head_starts = _Rows(np.int64), _Rows(np.int64)
+        self.has: list[set[int]] = []
+        self.members: list[tuple[list[int], list[float]]] = []
+
+    def candidates(self, prefix: np.ndarray, ell: int, n: int, mark: np.ndarray) -> np.ndarray:
+        """Clusters with enough of the prefix tokens and lengths that can link, most tokens first."""
+        listed = [self.lists[t] for t in prefix.tolist() if t in self.lists]
+        if not listed:
+            return np.zeros(0, np.int64)
+        total = sum(map(len, listed))
+        if total < 500 or 16 * total < self.token.used:
+            times: dict[int, int] = {}
+            for x in listed:
+                for c in x:
+                    times[c] = times.get(c, 0) + 1
+            least, low, high = self.least.data, self.low.data, self.high.data
+            fit = [c for c, k in times.items() if k >= min(ell, least[c]) and 100 * high[c] >= PERCENT * n and 100 * n >= PERCENT * low[c]]
+            return np.array(sorted(fit, key=lambda c: (-times[c], c)), np.int64)
+        mark[prefix] = True  # long lists: all at once
+        count = np.bincount(self.cluster.all[mark[self.token.all]], minlength=len(self.has))
+        mark[prefix] = False
+        ok = (count > 0) & (count >= np.minimum(ell, self.least.all))
+        ok &= (100 * self.high.all >= PERCENT * n) & (100 * n >= PERCENT * self.low.all)
+        found = np.flatnonzero(ok)
+        return found[np.argsort(-count[found], kind="stable")]
+
+    def open(self, x: int, ell: int, n: int, tokens: np.ndarray) -> int:
+        """A new cluster about x."""
+        self.head.add(x)
+        self.least.add(ell)
+        self.low.add(n)
+        self.high.add(n)
+        self.widest.add(0.0)
+        self.head_starts.add(self.head_tokens.used)
+        self.head_tokens.extend(tokens)
+        self.has.append(set())
+        self.members.append(([], []))
+        return len(self.has) - 1
+
+    def join(self, c: int, x: int, dist: float, ell: int, n: int, prefix: np.ndarray) -> None:
+        self.members[c][0].append(x)
+        self.members[c][1].append(dist)
+        self.least.data[c] = min(self.least.data[c], ell)
+        self.low.data[c] = min(self.low.data[c], n)
+        self.high.data[c] = max(self.high.data[c], n)
+        self.widest.data[c] = max(self.widest.data[c], dist)
+        has = self.has[c]
+        new = [t for t in prefix.tolist() if t not in has]
+        has.update(new)
+        for t in new:
+            self.lists.setdefault(t, []).append(c)
+        if new:
+            self.token.extend(new)
+            self.cluster.extend([c] * len(new))
 
 
 def clusters(ids, n, ell, reach, tokens: list[np.ndarray]) -> tuple[list[tuple[int, int]], list[int], list[float], list[int]]:
     """Links that span the classes of a group; the leader of each document, its distance from it, and a document of its class.
 
-    Documents are numbers from 0 by place; every pair that can link is decided.
+    Documents are numbers from 0 by place; every pair that can link is decided. Those whose tokens most others have come
+    first, so that leaders stand in the middle of their copies.
     """
-    g = _Group(n, tokens)
-    ells, sizes = np.asarray(ell).tolist(), g.n
-    lists: dict[int, list[int]] = {}  # prefix token -> clusters
-    heads: list[int] = []
-    has: list[set[int]] = []
-    least: list[int] = []
-    widest: list[float] = []
-    longest: list[int] = []
-    members: list[list[tuple[float, int]]] = []
-    of, dist, links = [-1] * len(ids), [0.0] * len(ids), []
-    for x in np.lexsort((ids, n)).tolist():
-        prefix = g.tokens[x][: int(reach[x])].tolist()
-        count: dict[int, int] = {}
-        for t in prefix:
-            for c in lists.get(t, ()):
-                count[c] = count.get(c, 0) + 1
-        if count:
-            g.look(x)
-        for c, found in sorted(count.items(), key=lambda e: -e[1]):
-            y = heads[c]
-            if found < min(ells[x], least[c]) or 100 * longest[c] < PERCENT * sizes[x] or g.find(x) == g.find(y):
-                continue
-            near, d = g.distance(y)
-            if near:
-                if of[x] < 0:
-                    of[x], dist[x] = c, d
-            elif d <= FAR + widest[c] + MARGIN:
-                y = next((z for r, z in members[c] if r >= d - FAR - MARGIN and 100 * sizes[z] >= PERCENT * sizes[x] and g.distance(z)[0]), -1)
+    g, k = _Group(n, tokens), _Clusters()
+    frequency = np.bincount(g.flat)[g.flat]
+    middle = np.add.reduceat(frequency, g.starts) / g.sizes
+    of, dist, links = np.full(len(ids), -1), np.zeros(len(ids)), []
+    for x in np.lexsort((ids, -middle)).tolist():
+        mine, size, own_ell = g.tokens(x), int(g.n[x]), int(ell[x])
+        prefix = mine[: int(reach[x])]
+        cand = k.candidates(prefix, own_ell, size, g.mark)
+        if len(cand):
+            g.mark[mine] = True
+            heads = k.head.all[cand]
+            if 3 * len(cand) > k.head.used > 8:
+                shared = np.add.reduceat(g.mark[k.head_tokens.all], k.head_starts.all, dtype=np.int64)[cand]
             else:
-                y = -1
-            if y >= 0:
-                g.unite(x, y)
-                links.append((x, y))
-        c = of[x]
-        if c < 0:
-            c = of[x] = len(heads)
-            heads.append(x)
-            has.append(set())
-            least.append(ells[x])
-            widest.append(0.0)
-            longest.append(0)
-            members.append([])
-        members[c].append((dist[x], x))
-        least[c], widest[c], longest[c] = min(least[c], ells[x]), max(widest[c], dist[x]), sizes[x]
-        for t in prefix:
-            if t not in has[c]:
-                has[c].add(t)
-                lists.setdefault(t, []).append(c)
-    return links, [heads[c] for c in of], dist, [g.find(x) for x in range(len(ids))]
-
-
-def leaders(ids, n, radius, label, tokens: list[np.ndarray], part=None) -> tuple[list[tuple[int, int]], list[tuple[int, int, float]]]:
+                shared = g.shared(heads)
+            near, d = g.judged(x, heads, shared)
+            if near.any():
+                at = np.flatnonzero(near)
+                best = at[np.argmin(d[at])]
+                of[x], dist[x] = cand[best], d[best]
+                links += [(x, y) for y in heads[at].tolist() if g.unite(x, y)]
+            for j in np.flatnonzero(~near & (k.widest.all[cand] > 0) & (d <= FAR + k.widest.all[cand] + MARGIN)).tolist():
+                if g.find(x) != g.find(int(heads[j])):
+                    member, far = (np.array(v) for v in k.members[cand[j]])
+                    member = member[far >= d[j] - FAR - MARGIN]
+                    at = np.flatnonzero(g.judged(x, member, g.shared(member))[0]) if len(member) else member
+                    if len(at):
+                        y = int(member[at[0]])
+                        g.unite(x, y)
+                        links.append((x, y))
+            g.mark[mine] = False
+        if of[x] < 0:
+            of[x] = k.open(x, own_ell, size, mine)
+        k.join(int(of[x]), x, float(dist[x]), own_ell, size, prefix)
+    return links, k.head.all[of].tolist(), dist.tolist(), [g.find(x) for x in range(len(ids))]
+
+
+def leaders(n, radius, label, tokens: list[np.ndarray], part=None) -> tuple[list[tuple[int, int]], list[tuple[int, int, float]]]:
     """(links, pairs whose clusters may link although they do not, with their distance) among leaders.
 
-    With ``part`` (0 or 1), only pairs of different parts are looked at. ``label`` are classes known before.
+    With ``part`` (0 or 1, ascending), only pairs of different parts are looked at. ``label`` are classes known before.
     """
-    g = _Group(n, tokens)
+    g, radius = _Group(n, tokens), np.asarray(radius, np.float64)
     same: dict[int, int] = {}
-    for x, k in enumerate(label):
-        g.unite(x, same.setdefault(k, x))
-    widest = float(max(radius, default=0.0))
-    lists: dict[int, list[int]] = {}
+    for x, c in enumerate(label):
+        g.unite(x, same.setdefault(c, x))
+    cut = None if part is None else int(np.searchsorted(part, 1))
     links, open_ = [], []
-    for x in np.lexsort((ids, n)).tolist():
-        # a pair matters from this similarity on; sets as similar share a token of such prefixes
-        similar = max(0.0, 1 - FAR - radius[x] - widest - MARGIN)
-        prefix = g.tokens[x][: max(0, len(tokens[x]) - max(1, int(np.ceil(similar * n[x] - MARGIN))) + 1)].tolist()
-        near = {y for t in prefix for y in lists.get(t, ())}
-        if near:
-            g.look(x)
-        for y in sorted(near):
-            if part is not None and part[x] == part[y] or g.find(x) == g.find(y):
-                continue
-            link, d = g.distance(y)
-            if link:
-                g.unite(x, y)
-                links.append((x, y))
-            elif d <= FAR + radius[x] + radius[y] + MARGIN:
-                open_.append((x, y, d))
-        for t in prefix:
-            lists.setdefault(t, []).append(x)
+    for x in range(1 if cut is None else max(cut, 1), len(tokens)):
+        stop = x if cut is None else cut
+        if not stop:
+            break
+        others = np.arange(stop)
+        g.mark[g.tokens(x)] = True
+        shared = np.add.reduceat(g.mark[g.flat[: g.starts[stop - 1] + g.sizes[stop - 1]]], g.starts[:stop], dtype=np.int64)
+        g.mark[g.tokens(x)] = False
+        near, d = g.judged(x, others, shared)
+        links += [(x, y) for y in np.flatnonzero(near).tolist() if g.unite(x, y)]
+        both = radius[x] + radius[:stop]
+        open_ += [(x, y, float(d[y])) for y in np.flatnonzero(~near & (both > 0) & (d <= FAR + both + MARGIN)).tolist()]
     return links, [(x, y, d) for x, y, d in open_ if g.find(x) != g.find(y)]
 
 
-def _cut(t: pa.Table, *keys: str) -> Iterator[dict]:
-    """The rows of each group of ``keys`` as columns, ascending by doc_id."""
-    rows = t.sort_by([(k, "ascending") for k in (*keys, "doc_id")])
+def visits(n, host: np.ndarray, tokens: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A link with one of the hosts for each document that is none and has one; hosts come first."""
+    g, m, links = _Group(n, tokens), int(np.count_nonzero(host)), []
+    others = np.arange(m)
+    for x in range(m, len(tokens) if m else 0):
+        g.mark[g.tokens(x)] = True
+        shared = np.add.reduceat(g.mark[g.flat[: g.starts[m - 1] + g.sizes[m - 1]]], g.starts[:m], dtype=np.int64)
+        g.mark[g.tokens(x)] = False
+        at = np.flatnonzero(g.judged(x, others, shared)[0])
+        if len(at):
+            links.append((x, int(at[0])))
+    return links
+
+
+def _cut(t: pa.Table, keys: tuple[str, ...], *order: str) -> Iterator[dict]:
+    """The rows of each group of ``keys`` as columns, in the order given, then ascending by doc_id."""
+    rows = t.sort_by([(k, "ascending") for k in (*keys, *order, "doc_id")])
     columns = {k: rows.column(k).to_pylist() if k == "tokens" else rows.column(k).to_numpy() for k in rows.column_names}
     new = np.zeros(len(rows), bool)
     new[:1] = True
@@ -385,7 +471,7 @@ def _found(rows: list[tuple]) -> pa.Table:
 
 def _cluster_rows(t: pa.Table) -> pa.Table:
     out = []
-    for g in _cut(t, "c", "p"):
+    for g in _cut(t, ("c", "p")):
         ids = g["doc_id"].tolist()
         links, leader, dist, label = clusters(g["doc_id"], g["n"], g["ell"], g["reach"], g["tokens"])
         out += [(LINK, None, ids[x], ids[y], None, None) for x, y in links]
@@ -396,20 +482,24 @@ def _cluster_rows(t: pa.Table) -> pa.Table:
 
 
 def _leader_rows(t: pa.Table) -> pa.Table:
+    """Links, and open pairs as (host, visitor): the cluster of more members is the host."""
     out = []
-    for g in _cut(t, "c", "i", "j"):
-        ids, part = g["doc_id"].tolist(), g["part"] if g["part"][0] >= 0 else None
-        links, open_ = leaders(g["doc_id"], g["n"], g["radius"].tolist(), g["label"].tolist(), g["tokens"], part)
+    for g in _cut(t, ("c", "i", "j"), "part"):
+        ids, part, size = g["doc_id"].tolist(), g["part"] if g["part"][0] >= 0 else None, g["size"].tolist()
+        links, open_ = leaders(g["n"], g["radius"], g["label"].tolist(), g["tokens"], part)
         out += [(LINK, None, ids[x], ids[y], None, None) for x, y in links]
-        out += [(OPEN, None, ids[x], ids[y], d, None) for x, y, d in open_]
+        for x, y, d in open_:
+            if (size[x], ids[x]) < (size[y], ids[y]):
+                x, y = y, x
+            out.append((OPEN, None, ids[x], ids[y], d, None))
     return _found(out)
 
 
-def _open_rows(t: pa.Table) -> pa.Table:
+def _visit_rows(t: pa.Table) -> pa.Table:
     out = []
-    for g in _cut(t, "a", "b"):
+    for g in _cut(t, ("host", "v"), "visits"):
         ids = g["doc_id"].tolist()
-        out += [(ids[x], ids[y]) for x, y in clusters(g["doc_id"], g["n"], g["ell"], g["reach"], g["tokens"])[0]]
+        out += [(ids[x], ids[y]) for x, y in visits(g["n"], g["visits"] == 0, g["tokens"])]
     return pa.Table.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], schema=EDGE_PA)
 
 
@@ -432,35 +522,40 @@ def _linked(info: DataFrame, groups: DataFrame, n: int) -> DataFrame:
         info.join(groups.withColumnRenamed("v", "doc_id"), "doc_id").select("c", "doc_id", "n", "ell", "reach", "tokens"), "members"
     )
     total = members.agg(F.sum(F.octet_length("tokens") / 8)).first()[0] or 0
-    large = written(_parts(members, min(MOST_TOKENS, max(LEAST_TOKENS, int(total / n)))), "large")
+    fair = min(MOST_TOKENS, max(LEAST_TOKENS, int(total / n)))
+    large = written(_parts(members, fair), "large")
     dealt = _with_part(members, large).withColumn("bucket", F.pmod(F.xxhash64("c", "p"), F.lit(4 * n)))
     found = written(dealt.groupBy("bucket").applyInArrow(lambda t: _cluster_rows(t), FOUND), "clusters")
     out = found.filter(F.col("kind") == LINK).select("a", "b")
     if large.isEmpty():
         return out
     of = found.filter(F.col("kind") == MEMBER).select("c", F.col("a").alias("doc_id"), F.col("b").alias("leader"), "d", "label")
-    radius = of.groupBy("c", "leader", "label").agg(F.max("d").alias("radius"))
-    heads = members.drop("ell", "reach").join(radius.withColumnRenamed("leader", "doc_id"), ["c", "doc_id"])
+    about = of.groupBy("c", "leader").agg(F.max("d").alias("radius"), F.count("*").alias("size"), F.first("label").alias("label"))
+    heads = members.drop("ell", "reach").join(about.withColumnRenamed("leader", "doc_id"), ["c", "doc_id"])
     heads = written(heads, "leaders")
-    # leaders beyond one task's bound meet part by part: a row goes to each pair of parts that its own is in
-    heads = _with_part(heads, written(_parts(heads, MOST_TOKENS), "large"))
+    # leaders beyond a task's bound meet part by part: a row goes to each pair of parts that its own is in
+    heads = _with_part(heads, written(_parts(heads, min(4 * fair, LEADER_TOKENS)), "large"))
     heads = heads.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     heads = heads.select(
-        "c", "doc_id", "n", "radius", "label", "tokens",
+        "c", "doc_id", "n", "radius", "size", "label", "tokens",
         F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"),
         F.when(F.col("p") == F.col("q"), -1).when(F.col("p") < F.col("q"), 0).otherwise(1).alias("part"),
     )
     met = written(heads.groupBy("c", "i", "j").applyInArrow(lambda t: _leader_rows(t), FOUND), "leader-links")
     out = out.unionByName(met.filter(F.col("kind") == LINK).select("a", "b"))
-    open_ = met.filter(F.col("kind") == OPEN).select("a", "b", F.col("d").alias("between"))
+    # an open pair's smaller cluster visits the other: members of a host are sent once for so many visitors
+    open_ = met.filter(F.col("kind") == OPEN).select(F.col("a").alias("host"), F.col("b").alias("leader"), F.col("d").alias("between"))
     if open_.isEmpty():
         return out
-    sides = open_.select("*", F.col("a").alias("leader"), F.col("b").alias("other"))
-    sides = sides.unionByName(open_.select("*", F.col("b").alias("leader"), F.col("a").alias("other")))
-    sides = sides.join(radius.select(F.col("leader").alias("other"), "radius"), "other")
-    can = sides.join(of.select("leader", "doc_id", "d"), "leader").filter(F.col("d") >= F.col("between") - F.lit(FAR + MARGIN) - F.col("radius"))
-    can = can.select("a", "b", "doc_id").join(members.drop("c"), "doc_id")
-    return out.unionByName(can.groupBy("a", "b").applyInArrow(lambda t: _open_rows(t), EDGE))
+    rooms = open_.groupBy("host").agg(F.ceil(F.count("*") / VISITORS).cast("int").alias("rooms"))
+    hosts = of.join(rooms, of["leader"] == rooms["host"]).select("host", "doc_id", F.explode(F.sequence(F.lit(0), F.col("rooms") - 1)).alias("v"))
+    wide = about.join(rooms, about["leader"] == rooms["host"]).select("host", "rooms", "radius")
+    guests = open_.join(wide, "host").join(of.select("leader", "doc_id", "d"), "leader")
+    guests = guests.filter(F.col("d") >= F.col("between") - F.lit(FAR + MARGIN) - F.col("radius"))
+    guests = guests.select("host", "doc_id", F.pmod(F.xxhash64("leader"), F.col("rooms")).cast("int").alias("v"))
+    both = hosts.withColumn("visits", F.lit(0)).unionByName(guests.withColumn("visits", F.lit(1)))
+    both = both.join(members.select("doc_id", "n", "tokens"), "doc_id")
+    return out.unionByName(both.groupBy("host", "v").applyInArrow(lambda t: _visit_rows(t), EDGE))
 
 
 def _text() -> Column:

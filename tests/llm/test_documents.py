@@ -121,6 +121,8 @@ def classes(docs):
 def test_ngram_join(df, docs, bounds, monkeypatch):
     monkeypatch.setattr(ngram_join, "LEAST_TOKENS", bounds[0])
     monkeypatch.setattr(ngram_join, "MOST_TOKENS", bounds[1])
+    monkeypatch.setattr(ngram_join, "LEADER_TOKENS", bounds[1])
+    monkeypatch.setattr(ngram_join, "VISITORS", 1 + bounds[0] // 1000)
     assert tally(ngram_join.near_duplicates(df), "doc_id", "n_shingles", "component_id") == classes(docs)
 
 

@@ -224,14 +224,19 @@ def _joined(sets, dealt):
                 members[some[y][0]].append((r, d))
             heads += [some[y] for y in sorted(set(leader))]
     if dealt > 1 and heads:
-        radius = [max(d for _, d in members[h[0]]) for h in heads]
-        links, open_ = run(ngram_join.leaders, heads, radius, [find(h[0]) for h in heads])
+        columns = [np.array([h[1] for h in heads]), [max(d for _, d in members[h[0]]) for h in heads], [find(h[0]) for h in heads], [h[4] for h in heads]]
+        links, open_ = ngram_join.leaders(*columns)
+        half = len(heads) // 2
+        parted = ngram_join.leaders(*columns, np.arange(len(heads)) >= half)
+        assert {(x, y) for x, y, _ in parted[1]} <= {(x, y) for x in range(half, len(heads)) for y in range(half)}
         for x, y in links:
             up[find(heads[x][0])] = find(heads[y][0])
         for x, y, between in open_:
-            some = [r for a, b in ((x, y), (y, x)) for r, d in members[heads[a][0]] if d >= between - 0.25 - radius[b] - 1e-9]
-            for a, b in run(ngram_join.clusters, some)[0] if some else ():
-                up[find(some[a][0])] = find(some[b][0])
+            host = [r for r, _ in members[heads[x][0]]]
+            guests = [r for r, d in members[heads[y][0]] if d >= between - 0.25 - columns[1][x] - 1e-9]
+            both = host + guests
+            for a, b in ngram_join.visits(np.array([r[1] for r in both]), np.arange(len(both)) < len(host), [r[4] for r in both]):
+                up[find(both[a][0])] = find(both[b][0])
     return [find(x) for x in range(len(sets))]
 
 
