@@ -153,6 +153,24 @@ def left_default(left: DataFrame, right: DataFrame, on: str, defaults: dict[str,
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
 
 
+def skewed_lookup(left: DataFrame, right: DataFrame, on: str, count: str, spread: Sequence[str], n: int) -> DataFrame:
+    """Left join with a row per key, where a key may hold any share of the rows of ``left``.
+
+    ``right`` has a row per key, with ``count``, the rows of ``left`` that have it; it is read three times, so it should
+    be a written table. Keys above an n-th of all those rows are n at most, and they alone are broadcast; their rows
+    then go, by a hash of the columns ``spread``, to all tasks. Every other key is less than one task's share.
+    """
+    rest = [c for c in right.columns if c not in (on, count)]
+    total = right.agg(F.sum(count)).first()[0] or 0
+    hot = right.filter(F.col(count) * n > total).select(F.col(on).alias("_on"), F.struct(*rest).alias("_hot"))
+    rows = left.join(F.broadcast(hot), F.col(on) == F.col("_on"), "left").drop("_on")
+    rows = rows.withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*spread), F.lit(n))))
+    cool = right.select(on, F.struct(*rest).alias("_cool"), F.lit(0).cast("long").alias("_salt"))
+    out = rows.withColumn("_salt", F.col("_salt").cast("long")).join(cool, [on, "_salt"], "left")
+    found = F.coalesce("_hot", "_cool")
+    return out.select(*left.columns, *[found[c].alias(c) for c in rest])
+
+
 def encode_tokens(df: DataFrame, key: str, tokens: str, vocab: DataFrame, unknown: int) -> DataFrame:
     """Token arrays to id arrays; tokens outside the vocabulary get ``unknown``. ``vocab``: word, id."""
     rows = df.select(key, F.posexplode(tokens).alias("_p", "word"))

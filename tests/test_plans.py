@@ -71,3 +71,13 @@ def test_no_task_sorts_a_whole_source(spark, small, name, monkeypatch):
     monkeypatch.setattr(ordering, "written", lambda df, name: df)
     text = plan(catalogue.queries()[name](spark, small))
     assert set(re.findall(r"windowspecdefinition\((\w+)#", text)) <= {"_pid"}
+
+
+def test_hot_keys_alone_are_broadcast(spark):
+    left = spark.range(9000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 700).alias("k"), "id")
+    right = left.filter("k <> 5").groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("first")).cache()
+    out = relational.skewed_lookup(left, right, "k", "n", ["id"], 4)
+    assert out.columns == ["k", "id", "first"] and right.filter(F.col("n") * 4 > 9000).count() == 1
+    want = left.join(right, "k", "left").select("k", "id", "first")
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    assert relational.skewed_lookup(left, right.limit(0), "k", "n", ["id"], 4).filter("first is null").count() == 9000
