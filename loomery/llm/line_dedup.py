@@ -16,10 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomery.llm.lines import HAS_WORD, let, normal, text_lines
+from loomery.llm.workdir import partitions, written
+from loomery.operators.relational import skewed_lookup
 
 WINDOW = 3
-#: One window may occur in a third of all documents: joins to repeated windows are spread over so many keys.
-SALTS = 16
 NULL_ID = 2**63 - 1
 
 
@@ -69,12 +69,11 @@ def covered_lines(keyed: DataFrame) -> DataFrame:
         spots.groupBy("h")
         .agg(F.min("spot").alias("first"), F.count("*").alias("n"))
         .filter("n > 1")
-        .select(F.col("h").alias("r_h"), "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("r_salt"))
-    )
-    salted = spots.withColumn("salt", F.pmod(F.xxhash64("id_key", "text_key"), F.lit(SALTS)).cast("int"))
-    later = salted.join(repeated, (F.col("h") == F.col("r_h")) & (F.col("salt") == F.col("r_salt"))).filter(
-        F.col("spot") > F.col("first")
     )
+    # a window may occur in a third of all documents
+    n = partitions(keyed.sparkSession)
+    found = skewed_lookup(spots, written(repeated, "windows"), "h", "n", ["id_key", "text_key"], n)
+    later = found.filter(F.col("spot") > F.col("first"))
     return (
         later.select("id_key", "text_key", F.explode("at").alias("i"))
         .groupBy("id_key", "text_key")

@@ -38,6 +38,7 @@ from loomery.llm import bytes_np as bn
 from loomery.llm.graphs import components
 from loomery.llm.lines import HAS_WORD
 from loomery.llm.workdir import partitions, written
+from loomery.operators.relational import skewed_lookup
 
 WORDS = 5
 PERCENT = 75
@@ -52,7 +53,6 @@ LEAST_TOKENS, MOST_TOKENS = 16_000, 4_000_000
 LEADER_TOKENS, VISITORS = 500_000, 4096
 #: Stand-ins for null ids take the highest 2**31 numbers.
 STAND_IN_BITS = 31
-SALTS = 16
 OWNERS, COUNTS = range(2)
 TOLD = "block long, kind int, bucket long, a binary, b binary"
 TOLD_PA = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
@@ -608,15 +608,12 @@ def _classes(docs: DataFrame) -> DataFrame:
     stars = open_.select("doc_id", "base", "tokens").mapInArrow(prefixes, SENT).groupBy("bucket").applyInArrow(lambda t: _stars(t), EDGE)
     links = _linked(open_, components(stars), partitions(spark))
     classes = components(written(links, "links"))
-    # only repeated texts need their owner looked up; one text may be a third of all rows, so they are salted
-    repeated = texts.groupBy("m").agg(F.min("doc_id").alias("first"), F.count("*").alias("k")).filter("k > 1")
-    repeated = repeated.select("m", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = texts.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    owned = salted.join(repeated, ["m", "salt"], "left").select("real", "doc_id", "m", F.coalesce("first", "doc_id").alias("owner"))
-    size = info.select(F.col("doc_id").alias("owner"), "m", F.col("n").alias("n_shingles"))
-    named_class = classes.select(F.col("v").alias("owner"), "c")
-    out = owned.join(size, ["owner", "m"]).join(named_class, "owner", "left")
-    return out.select("real", "doc_id", "m", "n_shingles", F.coalesce("c", "owner").alias("least"))
+    # a row per text, with its set size and class, that all rows look up; one text may be a third of all rows
+    named_class = classes.select(F.col("v").alias("doc_id"), "c")
+    rows_of = texts.groupBy("m").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("k"))
+    of_text = info.select("doc_id", "m", F.col("n").alias("n_shingles")).join(rows_of, ["doc_id", "m"]).join(named_class, "doc_id", "left")
+    of_text = of_text.select("m", "k", "n_shingles", F.coalesce("c", "doc_id").alias("least"))
+    return skewed_lookup(texts, written(of_text, "texts"), "m", "k", ["doc_id"], partitions(spark))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

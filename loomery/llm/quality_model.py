@@ -195,7 +195,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndar
         for b in batches:
             yield _featured(b)
 
-    featured = joined.mapInArrow(run, "doc_id long, y int, f binary").withColumn("one", F.lit(1))
+    featured = joined.mapInArrow(run, "doc_id long, y int, f binary")
+    # a doc_id may be many rows: the bound is on rows
+    featured = featured.orderBy(F.xxhash64("doc_id"), "y", "f").limit(rows).withColumn("one", F.lit(1))
 
     def fit_all(pdf: pd.DataFrame) -> pd.DataFrame:
         return _fitted(pdf)

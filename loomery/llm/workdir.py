@@ -2,37 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from loomery.sources.shared import fresh_path, partitions, remove, scratch, shared_dir, written
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
-
-    Only where the session has none (local tests) a temporary folder is made and set.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="loomery-shared-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as a Parquet table in the shared folder and read it back."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def partitions(spark: SparkSession) -> int:
-    """The session's number of shuffle partitions, the scale knob of every operator here."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+__all__ = ["fresh_path", "partitions", "remove", "scratch", "shared_dir", "written"]

@@ -34,7 +34,7 @@ def tally(frame_, *columns):
     return Counter(tuple(r[c] for c in columns) for r in frame_.collect())
 
 
-def test_token_counts(df, docs):
+def test_token_counts(df, docs, nothing):
     vocab = token_counts.vocabulary(PIECES)
     trie = token_counts.Trie(vocab)
 
@@ -60,6 +60,16 @@ def test_token_counts(df, docs):
     got = tally(token_counts.token_counts(df, PIECES), "doc_id", "n_pretokens", "n_tokens")
     assert not want - got
     assert sum(got.values()) == len(docs)
+    long = "y" * 5000
+    longest = max(map(len, vocab))
+    best = [(0.0, 0)]
+    for j, word in enumerate(token_counts.MARK + long, 1):
+        text = (token_counts.MARK + long)[:j]
+        options = [(best[-1][0] + trie.byte * len(word.encode()), best[-1][1] - len(word.encode()))]
+        options += [(best[i][0] + vocab[text[i:]], best[i][1] - 1) for i in range(max(0, j - longest), j) if text[i:] in vocab]
+        best.append(max(options))
+    assert token_counts.count_texts([long], trie) == ([1], [-best[-1][1]])
+    assert token_counts.token_counts(nothing, PIECES).count() == 0
 
 
 def test_packing(df, docs, nothing):
@@ -72,13 +82,43 @@ def test_packing(df, docs, nothing):
     bins = defaultdict(list)
     for r in out:
         bins[r.bin_id].append(r)
-    text = {d: (t, s) for d, t, s in docs if d is not None}
+    source = defaultdict(set)
+    for d, t, s in docs:
+        source[d].add(s)
     for rows in bins.values():
         assert sum(r.length for r in rows) == rows[0].bin_used <= 64
-        named = [r for r in rows if r.doc_id in text]
-        assert len({text[r.doc_id][1] for r in named}) >= len(named) - 1 or len(named) == 1
         assert sorted(r.slot for r in rows) == list(range(len(rows)))
+        known = [source[r.doc_id] for r in rows if len(source[r.doc_id]) == 1]
+        assert len({next(iter(x)) for x in known}) == len(known)  # no two of one source
     assert packing.pack_documents(nothing).count() == 0
+    assert packing.pack_documents(df.drop("lang", "gone"), capacity=64).count() == len(out)
+
+
+def test_packing_is_naive_best_fit():
+    """Against a search of all bins for every piece."""
+    for seed in range(40):
+        rnd = random.Random(seed)
+        n = rnd.randint(0, 60)
+        lengths, sources, clusters = ([rnd.randint(lo, hi) for _ in range(n)] for lo, hi in ((1, 45), (0, 6), (0, 9)))
+        capacity = 20
+        pieces = [(r, k, at, min(capacity, x - at)) for r, x in enumerate(lengths) for k, at in enumerate(range(0, x, capacity))]
+        pieces.sort(key=lambda p: -p[3])
+        bins, want = [], []
+        for r, k, at, size in pieces:
+            repeated = clusters.count(clusters[r]) > 1
+            fit = [
+                (capacity - used, b)
+                for b, (used, held, copies, _) in enumerate(bins)
+                if used + size <= capacity and sources[r] not in held and not (repeated and clusters[r] in copies)
+            ]
+            b = min(fit)[1] if fit else len(bins)
+            if not fit:
+                bins.append((0, set(), set(), 0))
+            used, held, copies, slot = bins[b]
+            bins[b] = (used + size, held | {sources[r]}, copies | {clusters[r]}, slot + 1)
+            want.append((r, k, at, size, b, slot))
+        placed, used = packing.pack(lengths, sources, clusters, capacity)
+        assert placed == want and used == [b[0] for b in bins]
 
 
 def test_best_fit_takes_the_tightest_compatible_bin():
@@ -374,6 +414,48 @@ def test_quality_classifier(spark, small):
     assert all(zlib.crc32(str(i).encode()) % 5 == 0 for i in ids)
 
 
+def test_coordinate_descent_reaches_the_dual_optimum(monkeypatch):
+    """Against projected gradient on the whole dual of a tiny problem."""
+    monkeypatch.setattr(quality_model, "EPOCHS", 2000)
+    rng = np.random.default_rng(3)
+    scale = rng.normal(size=12)
+    rows = [np.flatnonzero(rng.random(12) < 0.4) for _ in range(30)]
+    y = np.where(rng.random(30) < 0.5, 1.0, -1.0)
+    x = np.zeros((30, 13))
+    for i, r in enumerate(rows):
+        x[i, r] = scale[r]
+    x[:, 12] = 1.0  # the bias is a feature of value 1
+    q = (x * y[:, None]) @ (x * y[:, None]).T
+    alpha = np.zeros(30)
+    for _ in range(20_000):
+        alpha = np.clip(alpha - (q @ alpha - 1) / np.linalg.norm(q, 2), 0, quality_model.COST)
+    best = 0.5 * alpha @ q @ alpha - alpha.sum()
+    w, bias = quality_model.coordinate_descent(rows, y, scale)
+    want = (alpha * y) @ x
+    assert np.allclose(w, want[:12] * scale, atol=1e-3) and abs(bias - want[12]) < 1e-3
+    margin = np.array([w[r].sum() for r in rows]) + bias
+    primal = 0.5 * (want @ want) + quality_model.COST * np.maximum(0, 1 - y * margin).sum()
+    assert abs(primal + best) < 1e-3  # no gap
+
+
+def test_log_count_ratios():
+    rows, y = [np.array([0, 1]), np.array([1]), np.array([2])], np.array([1.0, 1.0, -1.0])
+    seen = {}
+
+    def keep(rows, y, scale):
+        seen["ratio"] = scale
+        return scale, 0.0
+
+    original, quality_model.coordinate_descent = quality_model.coordinate_descent, keep
+    try:
+        quality_model.support_vectors(rows, y)
+    finally:
+        quality_model.coordinate_descent = original
+    d = quality_model.DIM
+    for f, (p, q) in {0: (2, 1), 1: (3, 1), 2: (1, 2), 3: (1, 1)}.items():
+        assert seen["ratio"][f] == pytest.approx(np.log(p / (d + 3)) - np.log(q / (d + 1)))
+
+
 def test_quality_classifier_odd_inputs(spark, df, docs, nothing):
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(None, 1), (1, None)], "doc_id long, quality int")
     out = quality_model.score(df, quality_model.train(df, labels))
@@ -418,6 +500,38 @@ def test_pipeline(spark, small):
     assert cp.run(spark, small).count() == frames[-1].count()
 
 
+@pytest.mark.parametrize("rows", ["odd", "none"])
+def test_pipeline_on_odd_rows(spark, small, docs, tmp_path, rows):
+    """Stage after stage against the rules, on nulls, empty and long texts, ties, repeated rows and clashing names."""
+    import corpus_pipeline as cp
+
+    df = frame(spark, docs if rows == "odd" else [])
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    items = [(1, " ".join(WORD.findall(docs[0][1] or "")[:30])), (2, " ".join(next(t for _, t, _ in docs if t and len(t) > 900).split()[20:60]))]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    frames, d = [], df
+    for _, stage in cp.STAGES:
+        d = stage(spark, d, str(tmp_path)).cache()
+        frames.append(d)
+    assert all(f.columns == df.columns for f in frames[:-1])
+    as_docs = [[(r.doc_id, r.text, r.source) for r in f.collect()] for f in frames[:-1]]
+    passed = Counter({d: n for (d, *_, failed), n in rules(docs).items() if not failed}) if rows == "odd" else Counter()
+    assert Counter(d for d, _, _ in as_docs[0]) == Counter(d for (d, *_, failed), n in (rules(docs) if rows == "odd" else Counter()).items() if not failed for _ in range(n)) and set(passed) == {d for d, _, _ in as_docs[0]}
+    named = {c for (d, _, c) in classes(as_docs[1]) if d is not None}
+    assert {d for d, _, _ in as_docs[2]} - {None} == named
+    words = [decontaminate.item_words(t) for _, t in items]
+
+    def dirty(text):
+        x = decontaminate.item_words(text)
+        return any(decontaminate.align(w, x)[0] >= len(w) for w in words)
+
+    assert sorted(map(repr, as_docs[3])) == sorted(repr(r) for r in as_docs[2] if not dirty(r[1]))
+    assert rows == "none" or len(as_docs[3]) < len(as_docs[2])
+    packed = frames[-1].collect()
+    assert sum(r.length for r in packed) == sum(len(WORD.findall(t)) + 1 for _, t, _ in as_docs[3])
+    assert sorted(map(repr, cp.run(spark, str(tmp_path)).collect())) == sorted(map(repr, packed))
+
+
 @pytest.mark.parametrize("name", ["op7_quality_rules", "op10_line_dedup"])
 def test_same_rows_as_sql(spark, small, name):
     from loomery.llm import queries as q

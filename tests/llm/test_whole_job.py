@@ -265,3 +265,11 @@ def test_clusters_and_leaders_lose_no_link(dealt):
         got = _joined(sets, dealt)
         pairs = {(find(i), got[i]) for i in range(len(sets))}
         assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+
+
+def test_an_id_with_several_texts_is_one_class(spark):
+    rnd = random.Random(13)
+    a, b, c = (" ".join(f"w{rnd.randrange(10**6)}" for _ in range(60)) for _ in range(3))
+    rows = [(1, a, "s"), (2, a, "s"), (2, b, "s"), (3, b, "s"), (3, b, "s"), (4, c, "s")]
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(frame(spark, rows)).collect())
+    assert got == Counter({(1, 56, 1): 1, (2, 56, 1): 2, (3, 56, 1): 2, (4, 56, 4): 1})
