@@ -1,11 +1,17 @@
-"""From raw documents to packed training sequences, in stages that each write a table the next one reads."""
+"""From raw documents to packed training sequences, in stages that each write a table the next one reads.
+
+Each stage works on all that the one before kept and passes all columns on, under their names; the cases that its
+operator defines (nulls, empty and very long texts, ties, repeated rows, empty tables, clashing names) hold for it:
+null and blank texts fail the quality rules, rows that repeat are one class of near duplicates, and the last stage gives
+a row for each piece of what is left. An empty table stays empty through all stages.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from loomery.llm import decontaminate, line_dedup, ngram_join, packing, quality_rules
-from loomery.llm.workdir import written
+from loomery.llm.workdir import fresh_path, remove, scratch
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +53,15 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``; each result is written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark) as kept:  # what the stage makes on its way goes when its result is written
+            path = fresh_path(spark, name.replace(" ", "-"))
+            kept.append(path)
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(path)
+            docs = spark.read.schema(made.schema).parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
