@@ -14,6 +14,12 @@ from pyspark.sql import functions as F
 from loomery.sources.shared import written
 
 
+def _before(totals: DataFrame, names: dict[str, str], part: str = "_pid") -> DataFrame:
+    """The sums over all partitions before each; ``totals`` has a row per partition."""
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select(part, *[F.coalesce(F.sum(t).over(before), F.lit(0)).alias(o) for o, t in names.items()])
+
+
 def with_prefix(df: DataFrame, order: list[Column | str], amounts: dict[str, Column]) -> DataFrame:
     """Adds, for each name, the running sum of its amount up to and with the row.
 
@@ -26,17 +32,20 @@ def with_prefix(df: DataFrame, order: list[Column | str], amounts: dict[str, Col
     placed = dealt.withColumns({f"_r_{k}": F.sum(f"_a_{k}").over(inside) for k in amounts})
     placed = written(placed, "placed")
     totals = placed.groupBy("_pid").agg(*[F.sum(f"_a_{k}").alias(f"_t_{k}") for k in amounts])
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
-    offsets = totals.select("_pid", *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_o_{k}") for k in amounts])
+    offsets = _before(totals, {f"_o_{k}": f"_t_{k}" for k in amounts})
     out = placed.join(F.broadcast(offsets), "_pid")
     out = out.withColumns({k: F.col(f"_r_{k}") + F.col(f"_o_{k}") for k in amounts})
     return out.select(*[c for c in out.columns if not c.startswith(("_a_", "_r_", "_o_", "_pid"))])
 
 
 def with_position(df: DataFrame, order: list[Column | str], name: str = "pos") -> DataFrame:
-    """Adds the row's position (from 0) in the total order."""
-    out = with_prefix(df, order, {name: F.lit(1).cast("long")})
-    return out.withColumn(name, F.col(name) - 1)
+    """Adds the row's position (from 0) in the total order: one range exchange and a sort, rows are numbered as they come."""
+    cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    dealt = df.repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn("_placed_at", F.monotonically_increasing_id())
+    placed = written(dealt, "placed").withColumn("_placed_in", F.shiftright("_placed_at", 33))  # partition, and place in it
+    offsets = _before(placed.groupBy("_placed_in").agg(F.count("*").alias("_placed_rows")), {"_placed_before": "_placed_rows"}, "_placed_in")
+    out = placed.join(F.broadcast(offsets), "_placed_in")
+    return out.withColumn(name, F.col("_placed_before") + F.col("_placed_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_placed_at", "_placed_in", "_placed_before")
 
 
 def group_position(df: DataFrame, group: str, order: list[Column | str], name: str = "pos") -> DataFrame:

@@ -41,7 +41,7 @@ def test_total_orders_are_ranges(spark, small, name, monkeypatch):
     assert "rangepartitioning" in text
     # one task sees a row per partition, never the rows
     for part in text.split("Exchange SinglePartition")[1:]:
-        assert "HashAggregate(keys=[_pid" in part.split("Exchange")[0]
+        assert re.search(r"HashAggregate\(keys=\[_(pid|placed_in)",  part.split("Exchange")[0])
 
 
 def test_interval_lookup_is_an_equi_join(spark):
@@ -70,7 +70,7 @@ def test_positions_are_right_when_range_bounds_are_sampled(spark):
 def test_no_task_sorts_a_whole_source(spark, small, name, monkeypatch):
     monkeypatch.setattr(ordering, "written", lambda df, name: df)
     text = plan(catalogue.queries()[name](spark, small))
-    assert set(re.findall(r"windowspecdefinition\((\w+)#", text)) <= {"_pid"}
+    assert set(re.findall(r"windowspecdefinition\((\w+)#", text)) <= {"_pid", "_placed_in"}
 
 
 def test_hot_keys_alone_are_broadcast(spark):
