@@ -165,7 +165,8 @@ def skewed_lookup(left: DataFrame, right: DataFrame, on: str, count: str, spread
     hot = right.filter(F.col(count) * n > total).select(F.col(on).alias("_on"), F.struct(*rest).alias("_hot"))
     rows = left.join(F.broadcast(hot), F.col(on) == F.col("_on"), "left").drop("_on")
     rows = rows.withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*spread), F.lit(n))))
-    cool = right.select(on, F.struct(*rest).alias("_cool"), F.lit(0).cast("long").alias("_salt"))
+    # always 0, but no constant: a constant would be folded away and the join dealt by the key alone
+    cool = right.select(on, F.struct(*rest).alias("_cool"), F.pmod(F.xxhash64(on), F.lit(1)).cast("long").alias("_salt"))
     out = rows.withColumn("_salt", F.col("_salt").cast("long")).join(cool, [on, "_salt"], "left")
     found = F.coalesce("_hot", "_cool")
     return out.select(*left.columns, *[found[c].alias(c) for c in rest])

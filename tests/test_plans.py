@@ -80,4 +80,5 @@ def test_hot_keys_alone_are_broadcast(spark):
     assert out.columns == ["k", "id", "first"] and right.filter(F.col("n") * 4 > 9000).count() == 1
     want = left.join(right, "k", "left").select("k", "id", "first")
     assert sorted(map(tuple, out.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    assert re.search(r"hashpartitioning\(k#\w+, _salt#", plan(out.hint("merge")) + plan(relational.skewed_lookup(left.hint("merge"), right.hint("merge"), "k", "n", ["id"], 4)))
     assert relational.skewed_lookup(left, right.limit(0), "k", "n", ["id"], 4).filter("first is null").count() == 9000
