@@ -8,8 +8,8 @@ Both are bitmaps in the bin. So a bin never holds two pieces of one source or tw
 Packing is sequential, so rows are dealt by a hash of the document over shards of bounded size; each shard is packed
 alone and bin ids are unique over shards. A hot source or a large group of copies is spread over all shards.
 
-Defined cases: null or blank text has length 1; null sources and null ids are ordinary values; repeated rows are packed
-each; a text's duplicate cluster is the hash of its words in lower case.
+Defined cases: null or blank text has length 1; null sources and null ids are ordinary values, and a table without
+sources has null ones; repeated rows are packed each; a text's duplicate cluster is the hash of its words in lower case.
 """
 
 from __future__ import annotations
@@ -92,9 +92,10 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int =
     spark = docs.sparkSession
     n_shards = max(1, -(-docs.count() // shard_rows))
     t = F.coalesce(F.col("text"), F.lit(""))
+    source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("source"),
+        F.coalesce(source, F.lit("\0")).alias("source"),
         (F.size(words(t)) + 1).cast("long").alias("n"),
         F.xxhash64(F.trim(F.regexp_replace(F.lower(t), SPACE_RUN, " "))).alias("cluster"),
     ).withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(n_shards)))

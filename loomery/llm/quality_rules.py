@@ -11,7 +11,7 @@ A host's frequent lines are one row, an array: each is in more than LINE_MAX_SHA
 fewer than 1 / LINE_MAX_SHARE times the lines of an average document of it. Documents meet that row by their host, so no
 line table is joined back to documents; a hot host is a skewed join key that adaptive execution splits.
 
-Defined cases: null text is the empty text; a null source is a host of its own; a row is judged by its text and source
+Defined cases: null text is the empty text; a null source is a host of its own, as is a table without sources; a row is judged by its text and source
 alone, so repeated ids and repeated rows are safe and equal rows get equal verdicts; columns other than doc_id, text and
 source are passed over.
 """
@@ -92,6 +92,10 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEAT_PERCENT * n_words)
 
 
+def _source(docs: DataFrame) -> Column:
+    return F.col("source") if "source" in docs.columns else F.lit(None).cast("string")
+
+
 def _host() -> list[Column]:
     return [F.col("source"), F.col("source").isNull()]
 
@@ -138,7 +142,7 @@ def _chars_in(lines: Column, gone: Column) -> Column:
 
 def measure(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, the base columns, line_chars_removed, base_failed and kept."""
-    base = docs.select("doc_id", "source", F.col("text").cast("string").alias("text"))
+    base = docs.select("doc_id", _source(docs).alias("source"), F.col("text").cast("string").alias("text"))
     table = base.select("doc_id", F.xxhash64(*_host()).alias("host"), base_struct(F.col("text")).alias("b"), _lines(F.col("text")).alias("lines"))
     table = written(table.select("doc_id", "host", "b.*", "lines"), "lines")
     out = table.join(_common(table.select("host", "lines")), "host", "left")
@@ -155,22 +159,26 @@ def apply_rules(docs: DataFrame) -> DataFrame:
     ``n_chars``, where there is one, follows the new text.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # no name of a column can clash with ours
-    source = F.col("source") if "source" in docs.columns else F.lit(None).cast("string")
-    base = docs.select(row, source.alias("source"), F.col("text").cast("string").alias("text"))
+    base = docs.select(row, _source(docs).alias("source"), F.col("text").cast("string").alias("text"))
     base = base.select("row", "text", F.xxhash64(*_host()).alias("host"))
     table = written(base.select("host", _lines(F.col("text")).alias("lines")), "lines")
-    passing = let(
-        base_struct(F.col("text")), lambda b: F.when(~base_failed(b["n_words"], b["n_repeat_words"]), b["word_chars"])
-    )
-    judged = base.select("row", "text", "host", passing.alias("word_chars")).filter("word_chars is not null")
-    j = judged.join(_common(table), "host", "left")
-    cut = let(_lines(F.col("text")), lambda x: let(_gone(x), lambda g: F.struct(_chars_in(x, g).alias("chars"), g.alias("gone"))))
-    j = j.withColumn("cut", F.when(F.col("common").isNotNull(), cut))
-    left = F.col("word_chars") - F.coalesce("cut.chars", F.lit(0))
-    j = j.filter(left >= MIN_LEFT_SHARE * F.col("word_chars"))
-    kept_lines = let(
-        text_lines(F.col("text")),
-        lambda x: F.array_join(F.filter(x, lambda _, i: ~F.get(F.col("cut.gone"), i)), "\n"),
-    )
-    j = j.withColumn("text", F.when(F.coalesce("cut.chars", F.lit(0)) > 0, kept_lines).otherwise(F.col("text")))
+    text, nothing = F.col("text"), F.array().cast("array<string>")
+
+    def without(gone: Column) -> Column:
+        return F.array_join(F.filter(text_lines(text), lambda _, i: ~F.get(gone, i)), "\n")
+
+    def judged(gone: Column, chars: Column, size: Column) -> Column:
+        left = F.array(F.when(chars > 0, without(gone)).otherwise(text))
+        return F.when(size - chars >= MIN_LEFT_SHARE * size, left).otherwise(nothing)
+
+    def cut(size: Column) -> Column:
+        return let(_lines(text), lambda x: let(_gone(x), lambda gone: let(_chars_in(x, gone), lambda chars: judged(gone, chars, size))))
+
+    def passed(b: Column) -> Column:
+        whole = F.when(F.col("common").isNull(), F.array(text)).otherwise(cut(b["word_chars"]))
+        return F.when(base_failed(b["n_words"], b["n_repeat_words"]), nothing).otherwise(whole)
+
+    # one generator, no filter: a filter would be pushed down and the text measured again for it
+    j = base.join(_common(table), "host", "left")
+    j = j.select("row", F.explode(let(base_struct(text), passed)).alias("text"))
     return j.select(*with_text(docs))
