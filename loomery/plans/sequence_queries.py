@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomery.functions.numeric import rounded
 from loomery.operators import metrics as M
 from loomery.operators import ordering as O
 from loomery.operators import sequence as S
@@ -53,7 +54,7 @@ ROUND = """WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUB
 def segment_round(t: Tables):
     x = F.col("embedding").cast("array<double>")
     made = {k: S.resample_round(x, 10, m) for k, m in (("avgs", "avgpool"), ("maxs", "maxpool"), ("tails", "tail"), ("centers", "center"))}
-    return t.embeddings.select("vec_id", *[F.transform(c, lambda v: F.round(v, 6)).alias(k) for k, c in made.items()])
+    return t.embeddings.select("vec_id", *[F.transform(c, lambda v: rounded(v, 6)).alias(k) for k, c in made.items()])
 
 
 @query("SELECT vec_id, list_transform(range(12), lambda i: round(list_avg(list_slice(list_transform(embedding, lambda v: v::DOUBLE), i * 5 + 1, i * 5 + 5)), 6)) AS avgs FROM embeddings")
