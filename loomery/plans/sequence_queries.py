@@ -60,7 +60,7 @@ def segment_round(t: Tables):
 @query("SELECT vec_id, list_transform(range(12), lambda i: round(list_avg(list_slice(list_transform(embedding, lambda v: v::DOUBLE), i * 5 + 1, i * 5 + 5)), 6)) AS avgs FROM embeddings")
 def segment_stride(t: Tables):
     x = F.col("embedding").cast("array<double>")
-    return t.embeddings.select("vec_id", F.transform(S.resample_stride(x, 5), lambda v: F.round(v, 6)).alias("avgs"))
+    return t.embeddings.select("vec_id", F.transform(S.resample_stride(x, 5), lambda v: rounded(v, 6)).alias("avgs"))
 
 
 @query("""WITH p AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM events)

@@ -18,7 +18,7 @@ def both(spark, name: str, folder) -> tuple[list, list]:
     return sorted(repr(tuple(r)) for r in df.select(*rel.columns).collect()), sorted(repr(tuple(r)) for r in want)
 
 
-@pytest.mark.parametrize("name", ["matrix_patterns", "segment_round"])
+@pytest.mark.parametrize("name", ["matrix_patterns", "segment_round", "segment_stride"])
 def test_small_negative_numbers_round_to_negative_zero(spark, tmp_path, name):
     sign = F.when(F.col("id") % 2 == 0, -1).otherwise(1)
     x = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda k: (sign * k * 1.7e-8).cast("float"))
