@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,14 +54,45 @@ def shorten_name(s: Column) -> Column:
     return F.array_join(F.array_distinct(parts), "-")
 
 
-def format_with_suffix(num: Column) -> Column:
-    """one decimal and a suffix per factor 1000 (k, M, G, T, E)."""
-    out = F.concat(F.format_string("%.1f", num / F.lit(1000.0**5)), F.lit("E"))
-    for p in range(4, -1, -1):
-        out = F.when(
-            F.abs(num) < 1000.0 ** (p + 1), F.concat(F.format_string("%.1f", num / F.lit(1000.0**p)), F.lit(SUFFIXES[p]))
-        ).otherwise(out)
-    return out
+def one_decimal(x: Column) -> Column:
+    """A double's exact value to one decimal, a half to the even digit, as C and Python print it.
+
+    Java's formats round the shortest text of the number half up. Ten times a fraction is kept as a sum and its rounding
+    error, so no half is made or lost.
+    """
+
+    def tenths(part: Column) -> Column:
+        a, b = part * 8, part * 2
+        ten = a + b
+        error = b - (ten - a)
+        low = F.floor(ten)
+        over = ten - low - 0.5
+        up = (over > 0) | ((over == 0) & ((error > 0) | ((error == 0) & (low % 2 == 1))))
+        return low + up.cast("long")
+
+    def made(v: Column) -> Column:
+        whole = F.floor(F.abs(v))
+        digit = bound(F.abs(v) - whole, tenths)
+        sign = F.when(F.signum(v).cast("string").startswith("-"), "-").otherwise("")
+        return bound(digit, lambda d: F.concat(sign, (whole + (d == 10).cast("long")).cast("string"), F.lit("."), (d % 10).cast("string")))
+
+    # what is no number, or none of 64 bits, is left to the format
+    return bound(x, lambda v: F.when(F.abs(v) >= 2.0**63, F.format_string("%.1f", v)).otherwise(made(v)))
+
+
+def bound(x: Column, fn) -> Column:
+    """``fn`` of a value that is computed once, however often ``fn`` names it."""
+    return F.get(F.transform(F.array(x), fn), F.lit(0))
+
+
+def format_with_suffix(num: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
+    """one decimal and a suffix per factor 1000 (k, M, G, T, E); the last one takes all larger numbers."""
+    last = len(suffixes) - 1
+    x, suffix = num / F.lit(1000.0**last), F.lit(suffixes[last])
+    for p in range(last - 1, -1, -1):
+        below = F.abs(num) < 1000.0 ** (p + 1)
+        x, suffix = F.when(below, num / F.lit(1000.0**p)).otherwise(x), F.when(below, F.lit(suffixes[p])).otherwise(suffix)
+    return F.concat(one_decimal(x), suffix)
 
 
 def expand_braces(pattern: str) -> list[str]:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import random
+import struct
+
 import duckdb
 import pytest
-from loomery.functions import numeric
+from loomery.functions import numeric, text
 from loomery.plans import catalogue
 from oracle import connect
 from pyspark.sql import functions as F
@@ -32,3 +35,21 @@ def test_rounded(spark):
     got = [r.x for r in spark.createDataFrame(rows, "v double").coalesce(1).select(numeric.rounded(F.col("v"), 6).alias("x")).collect()]
     want = [duckdb.execute("SELECT round(?::DOUBLE, 6)", r).fetchone()[0] for r in rows]
     assert repr(got) == repr(want)
+
+
+def test_one_decimal_is_of_the_exact_number(spark):
+    draw = random.Random(5)
+    values = [0.05, 0.25, 0.75, 752.25, 1.45, 0.35, -0.04, -2.25, 0.0, -0.0, 999.95, 999.9500000000001, 9.96, 2.0**52 + 0.5, 2.0**60, 1e-300, 1e12]
+    values += [draw.randrange(10**6) / 1000 for _ in range(300)] + [draw.randrange(1 << 20) / 64 for _ in range(300)]
+    values += [struct.unpack("d", struct.pack("Q", struct.unpack("Q", struct.pack("d", draw.randrange(10**4) / 20 + 0.05))[0] + draw.choice([-1, 0, 1])))[0] for _ in range(300)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    got = [r.s for r in df.select("i", text.one_decimal(F.col("v")).alias("s")).orderBy("i").collect()]
+    assert got == [f"{v:.1f}" for v in values]
+    assert df.limit(1).select(text.one_decimal(F.lit(None).cast("double")).alias("s")).first().s is None
+
+
+def test_suffixes_of_large_keys(spark, tmp_path):
+    keys = [1, 4509, 5, 164398, 164399, 899999]
+    spark.createDataFrame([(k,) for k in keys], "c_custkey long").toPandas().to_parquet(tmp_path / "customer.parquet")
+    got, want = both(spark, "size_suffix", tmp_path)
+    assert got == want and "752.2M" in str(got) and "1000.0G" in str(got)
